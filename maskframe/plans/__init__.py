@@ -1,0 +1,6 @@
+"""Whole-run plans built from the operators."""
+
+from maskframe.plans.config import RunConfig
+from maskframe.plans.run import Inspection, RunResult, dry_run, report_lines, run, verify_run
+
+__all__ = ["Inspection", "RunConfig", "RunResult", "dry_run", "report_lines", "run", "verify_run"]

@@ -1,0 +1,15 @@
+"""Readers, writers and synthetic inputs."""
+
+from maskframe.sources.read import (
+    apply_strategy, read_after, read_files, read_jdbc, read_table, row_filter,
+)
+from maskframe.sources.synth import synth_customers
+from maskframe.sources.write import (
+    copy_passthrough, dual_write, sink_stats, write_files, write_jdbc, write_table,
+)
+
+__all__ = [
+    "apply_strategy", "copy_passthrough", "dual_write", "read_after", "read_files", "read_jdbc",
+    "read_table", "row_filter", "sink_stats", "synth_customers", "write_files", "write_jdbc",
+    "write_table",
+]

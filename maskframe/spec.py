@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 STRATEGIES = ("transform", "exclude", "empty", "truncate")
@@ -22,13 +23,18 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class TableSpec:
-    """Constraints of one table. ``name`` is the schema-qualified id used in seed paths."""
+    """Constraints of one table. ``name`` is the schema-qualified id used in seed paths.
+
+    ``types`` names the logical type of columns Spark stores as strings (``uuid``, ``inet``,
+    ``varchar(120)``); detection uses it to choose compatible actions.
+    """
 
     name: str
     pk: tuple[str, ...] = ()
     uniques: tuple[tuple[str, ...], ...] = ()
     fks: tuple[ForeignKey, ...] = ()
     not_null: frozenset[str] = field(default_factory=frozenset)
+    types: Mapping[str, str] = field(default_factory=dict, hash=False)
 
     @property
     def unique_groups(self) -> tuple[tuple[str, ...], ...]:
