@@ -32,7 +32,7 @@ _SHARED_PIECE = re.compile(
     | (?P<escape>\\[^A-Za-z0-9]|\\[tnrf])
     | (?P<dot>\.)
     | (?P<finish>\$)
-    | (?P<group>\((?:\?:)?|\))
+    | (?P<group>\(\?:|\((?!\?)|\))
     | (?P<quantifier>(?:[*+?]|\{\d+(?:,\d*)?\})\??(?![+]))
     | (?P<set>\[\^?(?:\\[dws]|\\[^A-Za-z0-9]|[^\[\]\\&~|\-]|(?<=[\w])-(?=[\w])|-(?=\]))+\])
     | (?P<plain>[^\\()\[\]{}*+?.^$|])

@@ -7,13 +7,13 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.context import MaskContext
 from maskframe.functions.text import quoted
 from maskframe.operators import actions as act
-from maskframe.operators.mask import plan_mask
+from maskframe.operators.mask import MaskPlan, plan_mask
 from maskframe.operators.ner import SpanFinder
 from maskframe.operators.profile import unpivot_stats
 from maskframe.spec import TableSpec
@@ -62,6 +62,51 @@ def audit_masking(
     )
 
 
+def observed_mask(plan: MaskPlan, name: str) -> tuple[DataFrame, Observation]:
+    """The masked table, counting cells while whatever action consumes it runs.
+
+    Saves the separate pass of :func:`audit_masking`. The observation fills in once a write
+    or another full action over the returned frame has finished.
+    """
+    observation = Observation(name)
+    pairs = plan.staged.select(
+        *[quoted(c).alias(f"o{i}") for i, c in enumerate(plan.columns)],
+        *[plan.masked[c].alias(f"m{i}") for i, c in enumerate(plan.columns) if c in plan.masked],
+    )
+    metrics = [F.count("*").alias("rows")]
+    for i, c in enumerate(plan.columns):
+        metrics.append(F.count(F.col(f"o{i}")).alias(f"seen{i}"))
+        if c in plan.masked:
+            differs = ~F.col(f"o{i}").eqNullSafe(F.col(f"m{i}"))
+            metrics.append(F.count(F.when(differs, 1)).alias(f"changed{i}"))
+    counted = pairs.observe(observation, *metrics)
+    side = {c: "m" if c in plan.masked else "o" for c in plan.columns}
+    out = counted.select(*[F.col(f"{side[c]}{i}").alias(c) for i, c in enumerate(plan.columns)])
+    return out, observation
+
+
+def observed_events(
+    spark: SparkSession, plan: MaskPlan, observation: Observation, *, table: str, run_id: str
+) -> DataFrame:
+    """The audit rows of a finished :func:`observed_mask`, one per column."""
+    counts = observation.get
+    kinds = {c.name: c.action.kind for c in plan.cells}
+    rows = [
+        (
+            run_id,
+            "column.masked" if c in plan.masked else "column.passed_through",
+            table, c, kinds.get(c, "passthrough"),
+            counts[f"seen{i}"], counts.get(f"changed{i}", 0),
+        )
+        for i, c in enumerate(plan.columns)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "run_id string, event_type string, table_id string, column_name string, action string, "
+        "cells_seen long, cells_changed long",
+    )
+
+
 def _kind(rule: act.Action | None) -> str:
     return rule.kind if rule is not None else "passthrough"
 

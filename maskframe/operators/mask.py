@@ -294,6 +294,23 @@ def mask_tables(
     finder: SpanFinder | None = None,
 ) -> dict[str, DataFrame]:
     """Mask several tables with consistent aliases and uniqueness suffixes."""
+    plans = plan_tables(
+        tables, rules, ctx, specs, fk_paths=fk_paths, post_process=post_process, finder=finder
+    )
+    return {name: plan.project() for name, plan in plans.items()}
+
+
+def plan_tables(
+    tables: Mapping[str, DataFrame],
+    rules: Mapping[str, act.Rules],
+    ctx: MaskContext,
+    specs: Mapping[str, TableSpec] | None = None,
+    *,
+    fk_paths: bool = False,
+    post_process: Mapping[str, PostProcess] | None = None,
+    finder: SpanFinder | None = None,
+) -> dict[str, MaskPlan]:
+    """The mask plans behind :func:`mask_tables`."""
     specs = dict(specs or {})
     hooks = post_process or {}
     out = {}
@@ -302,7 +319,7 @@ def mask_tables(
         table_rules = dict(rules.get(name, {}))
         if fk_paths:
             table_rules = resolve_aliases(table_rules, spec)
-        out[name] = mask_table(
+        out[name] = plan_mask(
             df, table_rules, ctx, table=spec,
             unique=suffixed_columns(table_rules, spec, specs),
             post_process=hooks.get(name), finder=finder,

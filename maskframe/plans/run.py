@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from maskframe.operators import audit
 from maskframe.operators.detect import (
     detect_pii, detection_summary, effective_rules, uncovered_columns,
 )
-from maskframe.operators.mask import mask_tables, null_rule_conflicts
+from maskframe.operators.mask import MaskPlan, null_rule_conflicts, plan_tables
 from maskframe.operators.ner import SpanFinder
 from maskframe.operators.referential import null_orphan_fks, remaining, subset
 from maskframe.operators.verify import verify
@@ -82,8 +83,8 @@ def prepare(
     *,
     roots: Mapping[str, str] | None = None,
     finder: SpanFinder | None = None,
-) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, dict]]:
-    """Subset, repair and mask: (rows entering the mask, masked rows, effective rules)."""
+) -> tuple[dict[str, MaskPlan], dict[str, dict]]:
+    """Subset, repair and plan the mask: (mask plan per table, effective rules)."""
     preflight(specs, tables, config)
     rules = {t: dict(r) for t, r in config.rules.items()}
     if config.auto_detect:
@@ -102,8 +103,8 @@ def prepare(
             for fk in spec.fks if fk.parent in tables
         }
         rows[name] = null_orphan_fks(rows[name], held, spec)
-    masked = mask_tables(rows, rules, ctx, specs, fk_paths=config.fk_paths, finder=finder)
-    return rows, masked, rules
+    plans = plan_tables(rows, rules, ctx, specs, fk_paths=config.fk_paths, finder=finder)
+    return plans, rules
 
 
 def run(
@@ -121,34 +122,34 @@ def run(
 ) -> RunResult:
     """Mask every table and write it below ``out``; audit rows go to ``out/_audit``.
 
-    ``resume`` adds to tables that already hold some rows only the rows still missing.
+    Audit counts are collected while the rows are written. ``resume`` adds to tables that
+    already hold some rows only the rows still missing.
     """
     run_id = run_id or uuid.uuid4().hex
-    rows, masked, rules = prepare(tables, specs, config, ctx, roots=roots, finder=finder)
-    paths = {name: f"{out}/{name}" for name in masked}
+    plans, rules = prepare(tables, specs, config, ctx, roots=roots, finder=finder)
+    paths = {name: f"{out}/{name}" for name in plans}
 
-    def write(name: str) -> None:
-        spec = specs.get(name, TableSpec(name))
+    def write(name: str) -> DataFrame | None:
+        spec, plan = specs.get(name, TableSpec(name)), plans[name]
         existing = _existing(spark, paths[name]) if resume else None
         if existing is not None and spec.pk:
-            remaining(masked[name], existing, spec.pk).write.mode("append").parquet(paths[name])
-        else:
-            policy = "drop_create" if resume else config.on_existing_data
-            write_table(masked[name], paths[name], policy=policy)
+            remaining(plan.project(), existing, spec.pk).write.mode("append").parquet(paths[name])
+            return None
+        policy = "drop_create" if resume else config.on_existing_data
+        if not config.audit_log:
+            write_table(plan.project(), paths[name], policy=policy)
+            return None
+        masked, observation = audit.observed_mask(plan, f"audit-{run_id}-{name}")
+        write_table(masked, paths[name], policy=policy)
+        return audit.observed_events(spark, plan, observation, table=name, run_id=run_id)
 
     with ThreadPoolExecutor(CONCURRENT_TABLES) as pool:
-        list(pool.map(write, sorted(masked)))
+        events = [e for e in pool.map(write, sorted(plans)) if e is not None]
     audit_path = None
-    if config.audit_log:
+    if events:
         audit_path = f"{out}/_audit/run_id={run_id}"
-        events = None
-        for name in sorted(rows):
-            part = audit.audit_masking(
-                rows[name], rules.get(name, {}), ctx,
-                table=specs.get(name, TableSpec(name)), run_id=run_id, finder=finder,
-            )
-            events = part if events is None else events.unionByName(part)
-        events.drop("run_id").coalesce(1).write.mode("overwrite").parquet(audit_path)
+        together = reduce(lambda a, b: a.unionByName(b), events)
+        together.drop("run_id").coalesce(1).write.mode("overwrite").parquet(audit_path)
     return RunResult(run_id, paths, rules, audit_path)
 
 
