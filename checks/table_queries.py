@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import sqlgen as g
 from checks.inputs import PEOPLE_SQL, SPECS, people, star, table
 from checks.registry import query
-from maskframe import Fake, ForeignKey, Hash, NerMask, Null, Static, TableSpec, mask_table, mask_tables
+from maskframe import Fake, ForeignKey, Hash, Null, Static, TableSpec, mask_table, mask_tables
 from maskframe.operators import audit, detect, drift, profile, references, referential, verify
 
 CTX = g.CTX
@@ -240,7 +240,7 @@ def unique_columns(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT 'orders' AS source_table, 'o_custkey' AS source_column, 'customer.custkey' AS suggested_alias,
         (SELECT count(o_custkey) FROM orders) AS n_rows,
         (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)) AS matched_rows,
-        matched_rows / n_rows AS containment
+        (SELECT count(*) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)) / count(*) FROM orders) AS containment
        UNION ALL SELECT 'events', 'author_user_id', 'users.user_id', (SELECT count(user_id) FROM events),
         (SELECT count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer)), 1.0""",
 )
@@ -550,9 +550,6 @@ def retention(spark: SparkSession, sf: str) -> DataFrame:
 
 # Referential operators ----------------------------------------------------------------------
 
-_ROOT = "n_name IN (SELECT max(n_name) FROM nation)"
-
-
 def _subset(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     names = ("region", "nation", "customer", "orders", "lineitem", "part", "supplier")
     return referential.subset(star(spark, sf, *names), SPECS, {"customer": "c_nationkey = 3 AND c_acctbal > 0"})
@@ -633,20 +630,14 @@ def null_orphan_fks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "null_orphan_fks_hot_key",
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN user_id % 7 <> 0 THEN user_id END AS user_id FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN user_id % 7 <> 0 THEN user_id END AS user_id FROM events""",
 )
 def null_orphan_fks_hot_key(spark: SparkSession, sf: str) -> DataFrame:
     """A third of the events belong to one user, which takes the salted path."""
-    events = table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_id")).alias("user_id")
-    )
-    customer = table(spark, sf, "customer").where("c_custkey % 7 <> 0 OR c_custkey = 0")
-    fixed = referential.null_orphan_fks(events, {"customer": customer}, SPECS["events"])
-    # User 0 is a multiple of 7 as well, but is kept as a parent only for the hot rows.
-    return fixed.select(
-        "event_id",
-        F.when((F.col("user_id") == 0) & (F.col("event_id") % 3 != 0), None).otherwise(F.col("user_id")).alias("user_id"),
-    )
+    hot = F.when(F.col("event_id") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("user_id"))
+    events = table(spark, sf, "events").select("event_id", hot.alias("user_id"))
+    customer = table(spark, sf, "customer").where("c_custkey % 7 <> 0")
+    return referential.null_orphan_fks(events, {"customer": customer}, SPECS["events"])
 
 
 @query(
