@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,11 +47,28 @@ def limbs_of(hex_seed: Column) -> list[Column]:
 
 
 class Seed:
-    """Seed bytes of the current row: ``hex`` (32 digits) and the limbs derived from it."""
-
-    def __init__(self, hex_seed: Column, limbs: list[Column] | None = None) -> None:
+    """Seed bytes of the current row: ``hex`` (32 digits) and the limbs derived from it.
+
+    ``define`` may replace each residue by a reference to a helper column computed in an
+    earlier select, so that providers can use a residue often without repeating its code.
+    """
+
+    def __init__(
+        self,
+        hex_seed: Column,
+        limbs: list[Column] | None = None,
+        define: Callable[[Column], Column] | None = None,
+    ) -> None:
         self.hex = hex_seed
         self._limbs = limbs if limbs is not None else limbs_of(hex_seed)
+        self._define = define or (lambda residue: residue)
+        self._defined: dict[tuple[str, int, int], Column] = {}
+
+    def _residue(self, kind: str, n: int, skip: int, build: Callable[[], Column]) -> Column:
+        key = (kind, n, skip)
+        if key not in self._defined:
+            self._defined[key] = self._define(build())
+        return self._defined[key]
 
     def byte(self, index: int) -> Column:
         """One byte of the seed as a long in 0..255."""
@@ -67,14 +85,18 @@ class Seed:
         if n.bit_length() > 54:
             raise ValueError("moduli above 54 bits are not supported")
         parts = self._tail(skip)
-        return self._weighted(parts, n) if n.bit_length() <= 30 else self._horner(parts, n)
+        fold = self._weighted if n.bit_length() <= 30 else self._horner
+        return self._residue("mod", n, skip, lambda: fold(parts, n))
 
     def reversed_mod(self, n: int) -> Column:
         """The same with the byte order reversed."""
-        total = F.lit(0).cast("long")
-        for i in range(_SEED_BYTES):
-            total = total + self.byte(i) * F.lit(pow(256, i, n))
-        return total % F.lit(n)
+        def build() -> Column:
+            total = F.lit(0).cast("long")
+            for i in range(_SEED_BYTES):
+                total = total + self.byte(i) * F.lit(pow(256, i, n))
+            return total % F.lit(n)
+
+        return self._residue("reversed", n, 0, build)
 
     def _tail(self, skip: int) -> list[tuple[Column, int]]:
         parts = []

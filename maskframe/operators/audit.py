@@ -47,7 +47,7 @@ def audit_masking(
             changed = F.count(F.when(~F.col(f"o{i}").eqNullSafe(F.col(f"m{i}")), 1))
         aggs.append(changed.alias(f"c{i}_cells_changed"))
     stats = unpivot_stats(
-        pairs.agg(*aggs), plan.columns, {"cells_seen": "long", "cells_changed": "long"}
+        pairs.agg(*aggs), plan.columns, {"cells_seen": "bigint", "cells_changed": "bigint"}
     )
     kinds = F.create_map(*[F.lit(v) for c in plan.columns for v in (c, _kind(rules.get(c)))])
     action = kinds[F.col("column_name")]
@@ -130,7 +130,7 @@ def conditional_skips(df: DataFrame, rules: act.Rules, *, table: str, run_id: st
         F.count(F.when(~F.coalesce(F.expr(p), F.lit(False)), 1)).alias(f"c{i}_skipped")
         for i, p in enumerate(guarded.values())
     ]
-    stats = unpivot_stats(df.agg(*aggs), list(guarded), {"skipped": "long"})
+    stats = unpivot_stats(df.agg(*aggs), list(guarded), {"skipped": "bigint"})
     hashes = F.create_map(
         *[F.lit(v) for c, p in guarded.items() for v in (c, hashlib.sha256(p.encode()).hexdigest())]
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,15 +22,25 @@ REMOVE = "remove"
 class JsonPlan:
     """Helper columns and the final expression for one JSON column.
 
-    Replacement values are always built in the JVM. With a declared schema the document is
-    rebuilt there too; otherwise a small pandas UDF writes the values into the parsed
-    document, so that fields nobody named survive untouched.
+    The document is parsed once and replacement values are built in the JVM. With a declared
+    schema the document is rebuilt there too; otherwise only the named fields are parsed and
+    a small pandas UDF writes their new values back, so that all other fields survive.
     """
 
     def __init__(
-        self, source: Column, action: act.JsonMask, ctx: MaskContext, path: str, helper: str
+        self,
+        source: Column,
+        action: act.JsonMask,
+        ctx: MaskContext,
+        path: str,
+        helper: str,
+        define: Callable[[Column], Column],
     ) -> None:
         self._source, self._action, self._ctx, self._path = source, action, ctx, path
+        self._define = define
+        schema = action.schema if action.schema is not None else _schema_of(action.paths)
+        self.parsed = F.from_json(source, schema).alias(f"{helper}_doc")
+        self._doc = F.col(f"{helper}_doc")
         self.texts: list[Column] = []
         self.seeds: list[Column] = []
         self.limbs: list[Column] = []
@@ -47,10 +57,13 @@ class JsonPlan:
             self._values[json_path] = None
             return
         full_path = f"{self._path}#json:{json_path}"
-        found = F.get_json_object(self._source, _dollar(json_path))
+        found = self._doc
+        for part in json_path.split("."):
+            found = found[part]
+        found = found.cast("string")
+        text = F.col(f"{helper}_text")
         if isinstance(rule, act.Hash):
             self.texts.append(found.alias(f"{helper}_text"))
-            text = F.col(f"{helper}_text")
             salted = F.concat(F.lit(bytearray(self._ctx.salt.encode())), text.cast("binary"))
             self._values[json_path] = F.when(text == "", text).otherwise(F.sha2(salted, 256))
             return
@@ -58,40 +71,52 @@ class JsonPlan:
             raise MaskError(f"{full_path}: json_mask supports fake, hash, null and remove")
         check_providers([(full_path, rule.provider)])
         self.texts.append(nfc(found, self._ctx.nfc).alias(f"{helper}_text"))
-        text = F.col(f"{helper}_text")
-        self.seeds.append(
-            seed_hex(text, self._ctx.salt, rule.seed_alias or full_path).alias(f"{helper}_seed")
-        )
+        seed_path = rule.seed_alias or full_path
+        self.seeds.append(seed_hex(text, self._ctx.salt, seed_path).alias(f"{helper}_seed"))
         seed_col = F.col(f"{helper}_seed")
-        self.limbs.extend(
-            p.alias(f"{helper}_limb{j}") for j, p in enumerate(limbs_of(seed_col))
-        )
-        seed = Seed(seed_col, [F.col(f"{helper}_limb{j}") for j in range(3)])
+        self.limbs.extend(p.alias(f"{helper}_limb{j}") for j, p in enumerate(limbs_of(seed_col)))
+        seed = Seed(seed_col, [F.col(f"{helper}_limb{j}") for j in range(3)], self._define)
         fake = get_provider(rule.provider).fn(seed, text, dict(rule.params), self._ctx)
         self._values[json_path] = F.when(text == "", text).when(text.isNotNull(), fake)
 
     def result(self) -> Column:
         if self._action.schema is not None:
             return self._rebuilt()
-        names = list(self._values)
         masked = [F.lit(None).cast("string") if v is None else v for v in self._values.values()]
         nulled = [n for n, v in self._values.items() if v is None]
-        patch = _patcher(names, nulled, self._removed)
+        patch = _patcher(list(self._values), nulled, self._removed)
         return patch(self._source, F.array(*masked) if masked else F.array().cast("array<string>"))
 
     def _rebuilt(self) -> Column:
-        """from_json, replace or drop fields, to_json; masked fields become strings."""
-        doc = F.from_json(self._source, self._action.schema)
+        """Replace or drop fields of the parsed document; masked fields become strings."""
+        doc = self._doc
         for json_path, value in self._values.items():
             doc = doc.withField(json_path, F.lit(None).cast("string") if value is None else value)
         for json_path in self._removed:
-            parent, _, name = json_path.rpartition(".")
-            doc = doc.withField(parent, doc[parent].dropFields(name)) if parent else doc.dropFields(name)
+            doc = doc.dropFields(json_path)
         return F.when(self._source.isNotNull(), F.to_json(doc))
 
 
-def _dollar(json_path: str) -> str:
-    return "$" + "".join(f"['{part}']" for part in json_path.split("."))
+def _schema_of(paths: Iterable[str]) -> T.StructType:
+    """A schema holding just the named paths, every leaf as text."""
+    tree: dict = {}
+    for path in paths:
+        *parents, leaf = path.split(".")
+        node = tree
+        for part in parents:
+            node = node.setdefault(part, {})
+            if node is None:
+                raise MaskError(f"json path {path!r} lies below another configured path")
+        if node.get(leaf, None) is not None:
+            raise MaskError(f"json path {path!r} lies above another configured path")
+        node[leaf] = None
+
+    def build(node: dict | None) -> T.DataType:
+        if node is None:
+            return T.StringType()
+        return T.StructType([T.StructField(name, build(child)) for name, child in node.items()])
+
+    return build(tree)
 
 
 def _patcher(names: list[str], nulled: list[str], removed: list[str]):

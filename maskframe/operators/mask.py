@@ -63,6 +63,18 @@ class _Cell:
         return f"{self.helper}_{part}"
 
 
+class _Residues:
+    """Seed residues that providers asked for, each a helper column of its own."""
+
+    def __init__(self) -> None:
+        self.columns: list[Column] = []
+
+    def define(self, residue: Column) -> Column:
+        name = f"__mod{len(self.columns)}"
+        self.columns.append(residue.alias(name))
+        return F.col(name)
+
+
 @dataclass(frozen=True)
 class MaskPlan:
     """Helper columns added to the input, and the masked expression of each configured column."""
@@ -120,11 +132,14 @@ def plan_mask(
         unique = table.unique_columns if isinstance(table, TableSpec) else ()
     cells = _cells(df, rules, table_id, frozenset(unique))
     hooks = dict(post_process or {})
-    staged, json_plans = _stage(df, cells, ctx, finder)
+    residues = _Residues()
+    staged, json_plans = _stage(df, cells, ctx, finder, residues)
     masked = {}
     for cell in cells:
-        value = _guarded(cell, _contract(cell, _expression(cell, ctx, json_plans), coerce))
-        masked[cell.name] = value
+        value = _expression(cell, ctx, json_plans, residues)
+        masked[cell.name] = _guarded(cell, _contract(cell, value, coerce))
+    if residues.columns:
+        staged = staged.select("*", *residues.columns)
     for name, hook in hooks.items():
         masked[name] = hook(masked.get(name, quoted(name)))
     return MaskPlan(staged, df.columns, masked, cells)
@@ -156,22 +171,29 @@ def _cells(
 
 
 def _stage(
-    df: DataFrame, cells: list[_Cell], ctx: MaskContext, finder: SpanFinder | None
+    df: DataFrame,
+    cells: list[_Cell],
+    ctx: MaskContext,
+    finder: SpanFinder | None,
+    residues: _Residues,
 ) -> tuple[DataFrame, dict[str, JsonPlan]]:
-    """Add normalised text, then seeds, then limbs, each computed once in its own select.
+    """Add parsed documents, normalised text, seeds and limbs, each in a select of its own.
 
     Catalyst keeps the selects apart because later ones use each helper several times, and
     drops helpers nobody reads.
     """
-    texts, seeds, limbs = [], [], []
+    documents, texts, seeds, limbs = [], [], [], []
     json_plans: dict[str, JsonPlan] = {}
     for cell in cells:
         if isinstance(cell.action, act.NerMask):
             spans = segments_of(cell.guarded_source, cell.action.entities, finder or default_finder)
             texts.append(spans.alias(cell.temp("parts")))
         elif isinstance(cell.action, act.JsonMask):
-            plan = JsonPlan(cell.guarded_source, cell.action, ctx, cell.path, cell.helper)
+            plan = JsonPlan(
+                cell.guarded_source, cell.action, ctx, cell.path, cell.helper, residues.define
+            )
             json_plans[cell.name] = plan
+            documents.append(plan.parsed)
             texts.extend(plan.texts)
             seeds.extend(plan.seeds)
             limbs.extend(plan.limbs)
@@ -182,7 +204,7 @@ def _stage(
                 seeds.append(_seed(cell, ctx).alias(cell.temp("seed")))
                 parts = limbs_of(F.col(cell.temp("seed")))
                 limbs.extend(p.alias(cell.temp(f"limb{j}")) for j, p in enumerate(parts))
-    for helpers in (texts, seeds, limbs):
+    for helpers in (documents, texts, seeds, limbs):
         if helpers:
             df = df.select("*", *helpers)
     return df, json_plans
@@ -195,7 +217,9 @@ def _seed(cell: _Cell, ctx: MaskContext) -> Column:
     return seed_hex(text, ctx.salt, cell.seed_path)
 
 
-def _expression(cell: _Cell, ctx: MaskContext, json_plans: dict[str, JsonPlan]) -> Column:
+def _expression(
+    cell: _Cell, ctx: MaskContext, json_plans: dict[str, JsonPlan], residues: _Residues
+) -> Column:
     action, source = cell.action, cell.source
     if isinstance(action, act.Null):
         return F.lit(None).cast("string")
@@ -215,9 +239,8 @@ def _expression(cell: _Cell, ctx: MaskContext, json_plans: dict[str, JsonPlan])
     if isinstance(action, act.JsonMask):
         return json_plans[cell.name].result()
     if isinstance(action, _SEEDED):
-        seed = Seed(
-            F.col(cell.temp("seed")), [F.col(cell.temp(f"limb{j}")) for j in range(3)]
-        )
+        limbs = [F.col(cell.temp(f"limb{j}")) for j in range(3)]
+        seed = Seed(F.col(cell.temp("seed")), limbs, residues.define)
         provider = get_provider(action.provider)
         base = provider.fn(seed, F.col(cell.temp("text")), dict(action.params), ctx)
         return unique_suffix(base, seed, provider.shape) if cell.unique else base

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,26 +22,22 @@ def base_type(dtype: T.DataType) -> str:
     return dtype.simpleString().partition("(")[0].partition("<")[0]
 
 
-def _text(name: str, dtype: T.DataType) -> Column:
-    c = quoted(name)
-    return F.to_json(c) if isinstance(dtype, _NESTED) else c.cast("string")
+def unpivot_stats(row: DataFrame, names: Iterable[str], fields: dict[str, str]) -> DataFrame:
+    """Turn a one-row aggregate of ``c{i}_{field}`` values into one row per column."""
+    names = list(names)
+    cells = ", ".join(
+        ", ".join([_literal(n), *[f"CAST(c{i}_{f} AS {t}) " for f, t in fields.items()]])
+        for i, n in enumerate(names)
+    )
+    return row.select(F.expr(f"stack({len(names)}, {cells}) AS (column_name, {', '.join(fields)})"))
 
 
-def _widths(f: T.StructField) -> list[Column]:
-    text = _text(f.name, f.dataType)
-    return [F.avg(F.octet_length(text)), F.max(F.char_length(text)).cast("long")]
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def unpivot_stats(row: DataFrame, names: Iterable[str], fields: dict[str, str]) -> DataFrame:
-    """Turn a one-row aggregate of ``column{i}_{field}`` values into one row per column."""
-    items = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            *[F.col(f"c{i}_{f}").cast(t).alias(f) for f, t in fields.items()],
-        )
-        for i, name in enumerate(names)
-    ]
-    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataFrame:
@@ -51,29 +47,30 @@ def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataF
     ``exact_distinct`` also shuffles the distinct values of every column.
     """
     fields = df.schema.fields
-    aggs = [F.count("*").alias("n_rows")]
+    aggs = [F.expr("count(1) AS n_rows")]
     for i, f in enumerate(fields):
-        c = quoted(f.name)
-        value = _text(f.name, f.dataType) if isinstance(f.dataType, _NESTED) else c
-        width, longest = _widths(f)
-        distinct = F.count_distinct(value) if exact_distinct else F.approx_count_distinct(value)
+        c = _ident(f.name)
+        nested = isinstance(f.dataType, _NESTED)
+        text = f"to_json({c})" if nested else f"CAST({c} AS STRING)"
+        value = text if nested else c
+        distinct = f"count(DISTINCT {value})" if exact_distinct else f"approx_count_distinct({value})"
         aggs += [
-            F.count(F.when(c.isNull(), 1)).alias(f"c{i}_nulls"),
-            distinct.alias(f"c{i}_n_distinct"),
-            width.alias(f"c{i}_avg_width"),
-            longest.alias(f"c{i}_max_length"),
+            F.expr(f"count_if({c} IS NULL) AS c{i}_nulls"),
+            F.expr(f"{distinct} AS c{i}_n_distinct"),
+            F.expr(f"avg(octet_length({text})) AS c{i}_avg_width"),
+            F.expr(f"max(char_length({text})) AS c{i}_max_length"),
         ]
-    row = df.agg(*aggs).select(
+    row = df.agg(*aggs).selectExpr(
         "*",
-        *[F.col("n_rows").alias(f"c{i}_n_rows") for i in range(len(fields))],
-        *[F.lit(base_type(f.dataType)).alias(f"c{i}_data_type") for i, f in enumerate(fields)],
+        *[f"n_rows AS c{i}_n_rows" for i in range(len(fields))],
+        *[f"{_literal(base_type(f.dataType))} AS c{i}_data_type" for i, f in enumerate(fields)],
     )
     stats = unpivot_stats(
         row,
         [f.name for f in fields],
         {
-            "data_type": "string", "n_rows": "long", "nulls": "long", "n_distinct": "long",
-            "avg_width": "double", "max_length": "long",
+            "data_type": "string", "n_rows": "bigint", "nulls": "bigint", "n_distinct": "bigint",
+            "avg_width": "double", "max_length": "bigint",
         },
     )
     return stats.select(F.lit(table).alias("table_id"), "*")
@@ -87,15 +84,6 @@ def profile_tables(tables: dict[str, DataFrame], *, exact_distinct: bool = False
     return out
 
 
-def avg_widths(df: DataFrame, names: list[str]) -> DataFrame:
-    """Average text width in bytes of the named columns only (column_name, avg_width)."""
-    by_name = {f.name: f for f in df.schema.fields}
-    row = df.agg(
-        *[F.avg(F.octet_length(_text(n, by_name[n].dataType))).alias(f"c{i}_avg_width") for i, n in enumerate(names)]
-    )
-    return unpivot_stats(row, names, {"avg_width": "double"})
-
-
 # Output shapes the masking actions are checked against.
 VALUE_SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
@@ -123,7 +111,7 @@ def value_evidence(df: DataFrame, table: str) -> DataFrame:
         card = c.rlike(r"^\d{15,16}$") & passes_luhn(c)
         aggs.append(F.count(F.when(card, 1)).alias(f"c{i}_credit_card"))
     stats = unpivot_stats(
-        df.agg(*aggs), names, {"n_values": "long", **dict.fromkeys(shapes, "long")}
+        df.agg(*aggs), names, {"n_values": "bigint", **dict.fromkeys(shapes, "bigint")}
     )
     return stats.select(F.lit(table).alias("table_id"), "*")
 
@@ -165,5 +153,5 @@ def not_null_conflicts(df: DataFrame, table: str, not_null: Iterable[str]) -> Da
     row = df.agg(
         *[F.count(F.when(quoted(n).isNull(), 1)).alias(f"c{i}_null_rows") for i, n in enumerate(names)]
     )
-    stats = unpivot_stats(row, names, {"null_rows": "long"})
+    stats = unpivot_stats(row, names, {"null_rows": "bigint"})
     return stats.select(F.lit(table).alias("table_id"), "*")
