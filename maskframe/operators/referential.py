@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskframe.context import MaskError
 from maskframe.functions.text import quoted
-from maskframe.operators.skew import distinct_keys, key_join
+from maskframe.operators.skew import distinct_keys, heavy_keys, key_join
 from maskframe.operators.verify import _union
 from maskframe.session import cut_lineage
 from maskframe.spec import ForeignKey, TableSpec
@@ -65,7 +65,7 @@ def subset(
             if e.parent == name and e.child in kept and not _implied(e, entries, roots, kept, down)
         ]
         if references:
-            back = [(e.fk.parent_cols, e.fk.cols, kept[e.child]) for e in references]
+            back = [(e.fk.parent_cols, e.fk.cols, kept[e.child], False) for e in references]
             links = _links(entries[name], down) if name in down else []
             kept[name] = _matching(tables[name], links + back, roots.get(name) if name in down else None)
         elif name in down:
@@ -73,8 +73,8 @@ def subset(
     return {name: kept.get(name, df.limit(0)) for name, df in tables.items()}
 
 
-def _links(edges: Sequence[_Edge], frames: Mapping[str, DataFrame]):
-    return [(e.fk.cols, e.fk.parent_cols, frames[e.parent]) for e in edges]
+def _links(edges: Sequence[_Edge], frames: Mapping[str, DataFrame]) -> list[tuple]:
+    return [(e.fk.cols, e.fk.parent_cols, frames[e.parent], True) for e in edges]
 
 
 def _implied(
@@ -107,25 +107,28 @@ def _parents_first(tables: Mapping[str, DataFrame], edges: list[_Edge]) -> list[
 
 def _matching(
     df: DataFrame,
-    links: Sequence[tuple[Sequence[str], Sequence[str], DataFrame]],
+    links: Sequence[tuple[Sequence[str], Sequence[str], DataFrame, bool]],
     predicate: str | None,
 ) -> DataFrame:
     """Rows that satisfy the predicate or whose columns equal a key of any linked frame.
 
-    Each link is (own columns, other columns, other frame). Only distinct keys of the other
-    frame travel.
+    Each link is (own columns, other columns, other frame, whether own keys may repeat).
+    Only distinct keys of the other frame travel.
     """
-    if len(links) == 1 and predicate is None:
-        own, other, frame = links[0]
-        return key_join(df, distinct_keys(frame, other), list(zip(own, other, strict=True)), "left_semi")
     if not links:
         return df.where(F.expr(predicate))
+    if len(links) == 1 and predicate is None:
+        own, other, frame, repeats = links[0]
+        pairs = list(zip(own, other, strict=True))
+        return key_join(df, distinct_keys(frame, other), pairs, "left_semi", heavy=None if repeats else [])
     marked = df
     flags = []
-    for i, (own, other, frame) in enumerate(links):
+    for i, (own, other, frame, repeats) in enumerate(links):
         names = [f"__l{i}_{j}" for j in range(len(other))]
         keys = distinct_keys(frame, other, names).withColumn(f"__hit{i}", F.lit(True))
-        marked = key_join(marked, keys, list(zip(own, names, strict=True)), "left_outer", measure=df)
+        # Measured on the table itself: earlier marks neither add nor drop rows.
+        heavy = heavy_keys(df, own) if repeats else []
+        marked = key_join(marked, keys, list(zip(own, names, strict=True)), "left_outer", heavy=heavy)
         flags.append(F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
     if predicate is not None:
         flags.append(F.coalesce(F.expr(predicate), F.lit(False)))
@@ -160,7 +163,7 @@ def _cyclic_subset(
 
 
 def _rows_of(df: DataFrame, pk: Sequence[str], keys: DataFrame) -> DataFrame:
-    return key_join(df, keys, [(c, c) for c in pk], "left_semi", split_heavy=False)
+    return key_join(df, keys, [(c, c) for c in pk], "left_semi", heavy=[])
 
 
 def _reach(
@@ -177,15 +180,19 @@ def _reach(
     """
     frontier = {n: cut_lineage(distinct_keys(df, specs[n].pk)) for n, df in seeds.items()}
     known = dict(frontier)
+    heavy: dict[tuple[str, tuple[str, ...]], list[int]] = {}
     for _ in range(max_rounds):
         found: dict[str, list[DataFrame]] = {}
         for origin, origin_cols, to, to_cols in steps:
             if origin not in frontier:
                 continue
             active = _rows_of(tables[origin], specs[origin].pk, frontier[origin])
+            if (to, tuple(to_cols)) not in heavy:
+                heavy[to, tuple(to_cols)] = heavy_keys(tables[to], to_cols)
             reached = key_join(
                 tables[to], distinct_keys(active, origin_cols),
-                list(zip(to_cols, origin_cols, strict=True)), "left_semi", split_heavy=False,
+                list(zip(to_cols, origin_cols, strict=True)), "left_semi",
+                heavy=heavy[to, tuple(to_cols)],
             )
             found.setdefault(to, []).append(distinct_keys(reached, specs[to].pk))
         frontier = {}
@@ -213,7 +220,10 @@ def null_orphan_fks(
             continue
         names = [f"__p{i}_{j}" for j in range(len(fk.cols))]
         keys = distinct_keys(parents[fk.parent], fk.parent_cols, names).withColumn("__held", F.lit(True))
-        joined = key_join(out, keys, list(zip(fk.cols, names, strict=True)), "left_outer", measure=child)
+        joined = key_join(
+            out, keys, list(zip(fk.cols, names, strict=True)), "left_outer",
+            heavy=heavy_keys(child, fk.cols),
+        )
         out = joined.select(
             *[
                 F.when(F.col("__held"), quoted(c)).alias(c) if c in fk.cols else quoted(c)
@@ -289,4 +299,4 @@ def fk_mask_consistency(
 def remaining(source: DataFrame, target: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Source rows whose primary key the target does not hold yet."""
     keys = distinct_keys(target, pk)
-    return key_join(source, keys, [(c, c) for c in pk], "left_anti", split_heavy=False)
+    return key_join(source, keys, [(c, c) for c in pk], "left_anti", heavy=[])

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskframe.functions.text import quoted
 
@@ -27,6 +28,12 @@ def key_hash(df: DataFrame, cols: Sequence[str], like: DataFrame | None = None,
     return F.xxhash64(*parts)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row, over every column Spark can hash."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*[quoted(c) for c in plain])
+
+
 def heavy_keys(df: DataFrame, cols: Sequence[str], share: float = HEAVY_SHARE) -> list[int]:
     """Hashes of the keys holding at least ``share`` of the rows, by a frequent-items sketch.
 
@@ -46,24 +53,24 @@ def key_join(
     on: Sequence[tuple[str, str]],
     how: str,
     *,
-    split_heavy: bool = True,
-    measure: DataFrame | None = None,
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Join ``left`` to a side holding each key once, keeping left's rows whole.
 
     Rows of heavy keys are spread over salts by a hash of the row, and the few right rows
     with those keys are repeated once per salt; everything else joins on salt zero. Where no
-    key is heavy the join is left as it is. ``measure`` supplies the key distribution when
-    ``left`` is itself the result of a join.
+    key is heavy the join is left as it is. ``heavy`` takes the result of an earlier
+    :func:`heavy_keys`; an empty list says that left's keys are known not to repeat much.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     left_cols = [a for a, _ in on]
     right_cols = [b for _, b in on]
-    heavy = heavy_keys(left if measure is None else measure, left_cols) if split_heavy and not left.isStreaming else []
+    if heavy is None:
+        heavy = [] if left.isStreaming else heavy_keys(left, left_cols)
     if not heavy:
         return _join(left, right, on, how)
-    salt = F.pmod(F.xxhash64(*[quoted(c) for c in left.columns]), F.lit(SALTS)).cast("int")
+    salt = F.pmod(row_hash(left), F.lit(SALTS)).cast("int")
     salted = left.withColumn(
         "__salt", F.when(key_hash(left, left_cols).isin(heavy), salt).otherwise(0)
     )

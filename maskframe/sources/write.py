@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from maskframe.context import MaskError
 from maskframe.functions.text import quoted
+from maskframe.operators.skew import row_hash
 
 POLICIES = {"fail": "errorifexists", "truncate": "overwrite", "drop_create": "overwrite"}
 _SINKS = ("parquet", "jsonl")
@@ -68,12 +69,13 @@ def write_files(
     """Export masked rows with names and types kept.
 
     With ``key`` the files are range-partitioned and sorted by it: a global order without
-    passing everything through one task.
+    passing everything through one task. A hash of the row breaks ties, so that the rows of
+    one very frequent key can still be divided between several files.
     """
     ordered = df
     if key:
         cols = [quoted(c) for c in key]
-        ordered = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+        ordered = df.repartitionByRange(*cols, row_hash(df)).sortWithinPartitions(*cols)
     write_table(ordered, path, policy=policy, fmt=fmt)
 
 

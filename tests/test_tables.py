@@ -283,7 +283,7 @@ def test_heavy_keys_give_the_same_rows(spark, how, hot_known):
     right = spark.range(400).where("id <> 7" if not hot_known else "true").select(F.col("id").cast("int").alias("r"), F.concat(F.lit("v"), "id").alias("v"))
     assert len(heavy_keys(left, ["k"])) >= 2
     salted = key_join(left, right, [("k", "r")], how)
-    plain = key_join(left, right, [("k", "r")], how, split_heavy=False)
+    plain = key_join(left, right, [("k", "r")], how, heavy=[])
     assert salted.columns == plain.columns
     assert verify.diff_runs(salted, plain).count() == 0
 
