@@ -342,13 +342,10 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT o_orderkey, {g.seed('o_orderkey::VARCHAR', 'orders.o_orderkey')} AS h FROM orders)""",
 )
 def seed_mod(spark: SparkSession, sf: str) -> DataFrame:
-    from maskframe.functions.seeds import limbs_of
-
     keys = table(spark, sf, "orders").select("o_orderkey")
     hexes = keys.withColumn("h", mf.seed_hex(F.col("o_orderkey").cast("string"), CTX.salt, "orders.o_orderkey"))
-    limbs = hexes.select("*", *[c.alias(f"l{i}") for i, c in enumerate(limbs_of(F.col("h")))])
-    seed = Seed(F.col("h"), [F.col(f"l{i}") for i in range(3)])
-    return limbs.select(
+    seed = Seed(F.col("h"))
+    return hexes.select(
         "o_orderkey", seed.mod(25).alias("m25"), seed.mod(7, skip=3).alias("m7_from3"),
         seed.mod(10**10).alias("m10e10"), seed.mod(10**16).alias("m10e16"),
         seed.mod(10_000, skip=8).alias("m10e4_from8"), seed.byte(9).alias("byte9"),

@@ -36,33 +36,26 @@ def keyed_digest(normalized: Column, key: str, path: str) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer_pad)), F.unhex(inner)), 256)
 
 
-def limbs_of(hex_seed: Column) -> list[Column]:
-    """The seed as longs. Materialise these in a select of their own before using them."""
-    out, start = [], 1
-    for size in LIMB_BYTES:
-        digits = F.substring(hex_seed, start, 2 * size)
-        out.append(F.conv(digits, 16, 10).cast("long"))
-        start += 2 * size
-    return out
-
-
 class Seed:
-    """Seed bytes of the current row: ``hex`` (32 digits) and the limbs derived from it.
+    """Seed bytes of the current row: ``hex`` (32 digits) and the numbers taken from it.
 
-    ``define`` may replace each residue by a reference to a helper column computed in an
-    earlier select, so that providers can use a residue often without repeating its code.
+    ``define`` may replace each number by a reference to a helper column computed in an
+    earlier select, where the hex conversions are shared and providers can use the number
+    often without repeating its code.
     """
 
     def __init__(
-        self,
-        hex_seed: Column,
-        limbs: list[Column] | None = None,
-        define: Callable[[Column], Column] | None = None,
+        self, hex_seed: Column, define: Callable[[Column], Column] | None = None
     ) -> None:
         self.hex = hex_seed
-        self._limbs = limbs if limbs is not None else limbs_of(hex_seed)
         self._define = define or (lambda residue: residue)
         self._defined: dict[tuple[str, int, int], Column] = {}
+        self._limbs: list[Column] = []
+        start = 1
+        for size in LIMB_BYTES:
+            digits = F.substring(hex_seed, start, 2 * size)
+            self._limbs.append(F.conv(digits, 16, 10).cast("long"))
+            start += 2 * size
 
     def _residue(self, kind: str, n: int, skip: int, build: Callable[[], Column]) -> Column:
         key = (kind, n, skip)
@@ -72,6 +65,9 @@ class Seed:
 
     def byte(self, index: int) -> Column:
         """One byte of the seed as a long in 0..255."""
+        return self._residue("byte", 256, index, lambda: self._raw_byte(index))
+
+    def _raw_byte(self, index: int) -> Column:
         for limb, size in zip(self._limbs, LIMB_BYTES, strict=True):
             if index < size:
                 return F.shiftright(limb, 8 * (size - 1 - index)).bitwiseAND(F.lit(255))
@@ -93,7 +89,7 @@ class Seed:
         def build() -> Column:
             total = F.lit(0).cast("long")
             for i in range(_SEED_BYTES):
-                total = total + self.byte(i) * F.lit(pow(256, i, n))
+                total = total + self._raw_byte(i) * F.lit(pow(256, i, n))
             return total % F.lit(n)
 
         return self._residue("reversed", n, 0, build)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from maskframe.context import MaskContext, MaskError
 from maskframe.functions.providers import check_providers, get_provider
-from maskframe.functions.seeds import Seed, limbs_of, seed_hex
+from maskframe.functions.seeds import Seed, seed_hex
 from maskframe.functions.text import nfc
 from maskframe.operators import actions as act
 
@@ -43,7 +43,6 @@ class JsonPlan:
         self._doc = F.col(f"{helper}_doc")
         self.texts: list[Column] = []
         self.seeds: list[Column] = []
-        self.limbs: list[Column] = []
         self._values: dict[str, Column | None] = {}
         self._removed: list[str] = []
         for i, (json_path, rule) in enumerate(action.paths.items()):
@@ -73,9 +72,7 @@ class JsonPlan:
         self.texts.append(nfc(found, self._ctx.nfc).alias(f"{helper}_text"))
         seed_path = rule.seed_alias or full_path
         self.seeds.append(seed_hex(text, self._ctx.salt, seed_path).alias(f"{helper}_seed"))
-        seed_col = F.col(f"{helper}_seed")
-        self.limbs.extend(p.alias(f"{helper}_limb{j}") for j, p in enumerate(limbs_of(seed_col)))
-        seed = Seed(seed_col, [F.col(f"{helper}_limb{j}") for j in range(3)], self._define)
+        seed = Seed(F.col(f"{helper}_seed"), self._define)
         fake = get_provider(rule.provider).fn(seed, text, dict(rule.params), self._ctx)
         self._values[json_path] = F.when(text == "", text).when(text.isNotNull(), fake)
 

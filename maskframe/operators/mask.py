@@ -13,7 +13,7 @@ from maskframe.context import MaskContext, MaskError
 from maskframe.functions.coerce import coerce_to
 from maskframe.functions.providers import check_providers, get_provider
 from maskframe.functions.regex import regex_replace
-from maskframe.functions.seeds import Seed, keyed_digest, limbs_of, seed_hex
+from maskframe.functions.seeds import Seed, keyed_digest, seed_hex
 from maskframe.functions.text import nfc, python_str, quoted
 from maskframe.functions.unique import unique_suffix
 from maskframe.operators import actions as act
@@ -177,12 +177,12 @@ def _stage(
     finder: SpanFinder | None,
     residues: _Residues,
 ) -> tuple[DataFrame, dict[str, JsonPlan]]:
-    """Add parsed documents, normalised text, seeds and limbs, each in a select of its own.
+    """Add parsed documents, normalised text and seeds, each in a select of its own.
 
     Catalyst keeps the selects apart because later ones use each helper several times, and
-    drops helpers nobody reads.
+    drops helpers nobody reads. The residues providers take of the seeds come in one more.
     """
-    documents, texts, seeds, limbs = [], [], [], []
+    documents, texts, seeds = [], [], []
     json_plans: dict[str, JsonPlan] = {}
     for cell in cells:
         if isinstance(cell.action, act.NerMask):
@@ -196,15 +196,12 @@ def _stage(
             documents.append(plan.parsed)
             texts.extend(plan.texts)
             seeds.extend(plan.seeds)
-            limbs.extend(plan.limbs)
         elif isinstance(cell.action, (*_SEEDED, act.HmacHash)):
             text = python_str(cell.guarded_source, cell.dtype)
             texts.append((nfc(text, ctx.nfc) if cell.is_text else text).alias(cell.temp("text")))
             if isinstance(cell.action, _SEEDED):
                 seeds.append(_seed(cell, ctx).alias(cell.temp("seed")))
-                parts = limbs_of(F.col(cell.temp("seed")))
-                limbs.extend(p.alias(cell.temp(f"limb{j}")) for j, p in enumerate(parts))
-    for helpers in (documents, texts, seeds, limbs):
+    for helpers in (documents, texts, seeds):
         if helpers:
             df = df.select("*", *helpers)
     return df, json_plans
@@ -239,8 +236,7 @@ def _expression(
     if isinstance(action, act.JsonMask):
         return json_plans[cell.name].result()
     if isinstance(action, _SEEDED):
-        limbs = [F.col(cell.temp(f"limb{j}")) for j in range(3)]
-        seed = Seed(F.col(cell.temp("seed")), limbs, residues.define)
+        seed = Seed(F.col(cell.temp("seed")), residues.define)
         provider = get_provider(action.provider)
         base = provider.fn(seed, F.col(cell.temp("text")), dict(action.params), ctx)
         return unique_suffix(base, seed, provider.shape) if cell.unique else base
