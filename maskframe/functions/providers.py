@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from maskframe.context import MaskContext, MaskError
 from maskframe.functions import libraries as lib
 from maskframe.functions.seeds import Seed
-from maskframe.functions.text import strip
+from maskframe.functions.text import SPACES
 
 ProviderFn = Callable[[Seed, Column, Mapping[str, str], MaskContext], Column]
 
 
 @dataclass(frozen=True)
 class Provider:
-    """``shape`` says what the output looks like, which decides its uniqueness suffix."""
+    """``shape`` says what the output looks like, which decides its uniqueness suffix.
+
+    ``strict`` providers give NULL exactly for NULL input, as anything built from the seed does.
+    """
 
     name: str
     fn: ProviderFn
     shape: str = "any"
+    strict: bool = True
 
 
 def _pick(library: tuple[str, ...], index: Column) -> Column:
@@ -64,7 +68,7 @@ def _address(seed: Seed, value: Column, params: Mapping[str, str], ctx: MaskCont
 
 
 def _phone(seed: Seed, value: Column, params: Mapping[str, str], ctx: MaskContext) -> Column:
-    code = F.regexp_extract(strip(value), r"^\+?(\p{Nd}{1,3})", 1)
+    code = F.regexp_extract(value, rf"^[{SPACES}]*\+?(\p{{Nd}}{{1,3}})", 1)
     return F.concat(
         F.lit("+"), F.when(code == "", "1").otherwise(code), _padded(seed.mod(10**10), 10)
     )
@@ -72,8 +76,8 @@ def _phone(seed: Seed, value: Column, params: Mapping[str, str], ctx: MaskContex
 
 def _dob(seed: Seed, value: Column, params: Mapping[str, str], ctx: MaskContext) -> Column:
     today = F.lit(ctx.require_as_of("fake dob"))
-    iso = F.regexp_extract(strip(value), r"^(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2})$", 1)
-    anchor = F.coalesce(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(lib.DOB_ANCHOR).cast("date"))
+    iso = F.regexp_extract(value, rf"^[{SPACES}]*(\d{{4}}-\d{{2}}-\d{{2}})[{SPACES}]*\z", 1)
+    anchor = F.coalesce(iso.try_cast("date"), F.lit(lib.DOB_ANCHOR).cast("date"))
     age = F.floor(F.datediff(today, anchor) / F.lit(365))
     years = F.greatest(F.lit(0).cast("long"), age + seed.mod(11) - F.lit(5))
     days = years * F.lit(365) + seed.byte(0) % F.lit(365)
@@ -171,7 +175,7 @@ _BUILTIN = (
     Provider("company", _from_library(lib.COMPANIES), "text"),
     Provider("job_title", _from_library(lib.JOB_TITLES), "text"),
     Provider("username", _from_library(lib.USERNAMES), "text"),
-    Provider("password", _password, "fixed"),
+    Provider("password", _password, "fixed", strict=False),
 )
 _REGISTRY: dict[str, Provider] = {p.name: p for p in _BUILTIN}
 
@@ -186,7 +190,7 @@ def register_provider(name: str, fn: ProviderFn) -> None:
     """
     if not name:
         raise ValueError("provider name must be non-empty")
-    _REGISTRY[name] = Provider(name, fn, _SHAPE_BY_NAME.get(name, "any"))
+    _REGISTRY[name] = Provider(name, fn, _SHAPE_BY_NAME.get(name, "any"), strict=False)
 
 
 def restore_builtin_providers() -> None:

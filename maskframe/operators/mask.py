@@ -198,7 +198,9 @@ def _stage(
             seeds.extend(plan.seeds)
         elif isinstance(cell.action, (*_SEEDED, act.HmacHash)):
             text = python_str(cell.guarded_source, cell.dtype)
-            texts.append((nfc(text, ctx.nfc) if cell.is_text else text).alias(cell.temp("text")))
+            if cell.is_text:
+                text = F.nullif(nfc(text, ctx.nfc), F.lit(""))
+            texts.append(text.alias(cell.temp("text")))
             if isinstance(cell.action, _SEEDED):
                 seeds.append(_seed(cell, ctx).alias(cell.temp("seed")))
     for helpers in (documents, texts, seeds):
@@ -248,6 +250,10 @@ def _contract(cell: _Cell, value: Column, coerce: bool) -> Column:
     dtype = cell.dtype if coerce else T.StringType()
     if isinstance(cell.action, act.Null):
         return F.lit(None).cast(dtype)
+    if cell.is_text and isinstance(cell.action, _SEEDED) and get_provider(cell.action.provider).strict:
+        # NULL for NULL and empty text; unlike a CASE branch this lets Spark share the seed's
+        # hex conversions between the numbers taken from it.
+        return F.coalesce(value, cell.source)
     typed = value if cell.is_text else coerce_to(value, dtype, cell.path)
     if cell.is_text and not isinstance(cell.action, act.Static):
         return F.when(cell.source.isNull() | (cell.source == ""), cell.source).otherwise(typed)
