@@ -69,12 +69,16 @@ class JsonPlan:
         if not isinstance(rule, act.Fake):
             raise MaskError(f"{full_path}: json_mask supports fake, hash, null and remove")
         check_providers([(full_path, rule.provider)])
-        self.texts.append(nfc(found, self._ctx.nfc).alias(f"{helper}_text"))
+        self.texts.append(F.nullif(nfc(found, self._ctx.nfc), F.lit("")).alias(f"{helper}_text"))
         seed_path = rule.seed_alias or full_path
         self.seeds.append(seed_hex(text, self._ctx.salt, seed_path).alias(f"{helper}_seed"))
-        seed = Seed(F.col(f"{helper}_seed"), self._define)
+        seed = Seed(F.col(f"{helper}_seed"))
         fake = get_provider(rule.provider).fn(seed, text, dict(rule.params), self._ctx)
-        self._values[json_path] = F.when(text == "", text).when(text.isNotNull(), fake)
+        # Empty text stays empty, and a missing field stays missing.
+        value = F.coalesce(F.when(text.isNotNull(), fake), found)
+        if get_provider(rule.provider).strict:
+            value = F.coalesce(fake, found)
+        self._values[json_path] = self._define(value)
 
     def result(self) -> Column:
         if self._action.schema is not None:
