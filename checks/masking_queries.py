@@ -263,7 +263,7 @@ def mask_null_and_empty(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "coerce_to",
     f"""{W} SELECT id, {g.fake('postcode', 'nation_id::VARCHAR', 'app.people.nation_id')}::INT AS nation_id,
-        ({g.fake('dob', 'd', 'app.people.d')})::DATE AS d, id % 2 = 0 AS flag, encode('hex' || id::VARCHAR) AS raw,
+        ({g.fake('dob', 'd', 'app.people.d')})::DATE AS d, id % 2 = 0 AS flag, hex(encode('hex' || id::VARCHAR)) AS raw,
         (id::VARCHAR || '.50')::DECIMAL(12,2)::VARCHAR AS amount
         FROM (SELECT *, (DATE '1950-01-01' + (id % 20000)::INT)::DATE::VARCHAR AS d FROM people)""",
 )
@@ -277,7 +277,7 @@ def coerce_values(spark: SparkSession, sf: str) -> DataFrame:
     return masked.select(
         "id", "nation_id", "d",
         mf.coerce_to(F.when(F.col("id") % 2 == 0, "ON").otherwise(" off "), T.BooleanType(), "flag").alias("flag"),
-        mf.coerce_to(F.concat(F.lit("\\x"), F.hex(F.concat(F.lit("hex"), F.col("id").cast("string")).cast("binary"))), T.BinaryType(), "raw").alias("raw"),
+        F.hex(mf.coerce_to(F.concat(F.lit("\\x"), F.hex(F.concat(F.lit("hex"), F.col("id").cast("string")).cast("binary"))), T.BinaryType(), "raw")).alias("raw"),
         mf.coerce_to(F.concat(F.col("id").cast("string"), F.lit(".5")), T.DecimalType(12, 2), "amount").cast("string").alias("amount"),
     )
 
