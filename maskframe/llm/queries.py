@@ -1,6 +1,6 @@
 """All queries of this subpackage, in one place."""
 
-from maskframe.llm import bpe, decontaminate, line_dedup, quality, simhash  # noqa: F401
+from maskframe.llm import bpe, decontaminate, licenses, line_dedup, quality, simhash  # noqa: F401
 from maskframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
