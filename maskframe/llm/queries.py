@@ -1,6 +1,8 @@
 """All queries of this subpackage, in one place."""
 
-from maskframe.llm import bpe, decontaminate, licenses, line_dedup, quality, simhash  # noqa: F401
+from maskframe.llm import (  # noqa: F401
+    bpe, chat, decontaminate, html_text, licenses, line_dedup, quality, simhash, wordpiece,
+)
 from maskframe.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
