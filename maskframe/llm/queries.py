@@ -1,7 +1,7 @@
 """All queries of this subpackage, in one place."""
 
 from maskframe.llm import (  # noqa: F401
-    bpe, chat, decontaminate, html_text, licenses, line_dedup, quality, simhash, wordpiece,
+    bpe, chat, decontaminate, html_text, licenses, line_dedup, quality, repeats, simhash, wordpiece,
 )
 from maskframe.llm.registry import ORACLES, QUERIES
 
