@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from maskframe.context import MaskError
 from maskframe.functions.text import quoted
-from maskframe.operators.skew import distinct_keys, heavy_keys, key_join
+from maskframe.operators.skew import NO_HEAVY_KEYS, HeavyKeys, distinct_keys, heavy_keys, key_join, key_types
 from maskframe.operators.verify import _union
 from maskframe.session import cut_lineage
 from maskframe.spec import ForeignKey, TableSpec
 
-MAX_ROUNDS = 1_000
-
 
 @dataclass(frozen=True)
 class _Edge:
@@ -34,13 +32,14 @@ def subset(
     specs: Mapping[str, TableSpec],
     roots: Mapping[str, str],
     *,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
 ) -> dict[str, DataFrame]:
     """Rows reachable from the root predicates, closed under foreign keys.
 
     Children of kept rows are kept, table by table, and then every parent a kept row refers
     to, so no reference dangles. Tables that are not reached give no rows. Without cycles
-    the result is lazy; cyclic keys are followed in rounds until nothing new turns up.
+    the result is lazy; cyclic keys are followed in rounds until nothing new turns up, or, if
+    given, for ``max_rounds`` rounds at most, beyond which it is an error.
     """
     edges = [
         _Edge(name, fk) for name, spec in specs.items() if name in tables
@@ -120,14 +119,14 @@ def _matching(
     if len(links) == 1 and predicate is None:
         own, other, frame, repeats = links[0]
         pairs = list(zip(own, other, strict=True))
-        return key_join(df, distinct_keys(frame, other), pairs, "left_semi", heavy=None if repeats else [])
+        return key_join(df, distinct_keys(frame, other), pairs, "left_semi", heavy=None if repeats else NO_HEAVY_KEYS)
     marked = df
     flags = []
     for i, (own, other, frame, repeats) in enumerate(links):
         names = [f"__l{i}_{j}" for j in range(len(other))]
         keys = distinct_keys(frame, other, names).withColumn(f"__hit{i}", F.lit(True))
         # Measured on the table itself: earlier marks neither add nor drop rows.
-        heavy = heavy_keys(df, own) if repeats else []
+        heavy = heavy_keys(df, own, key_types(df, own, keys, names)) if repeats else NO_HEAVY_KEYS
         marked = key_join(marked, keys, list(zip(own, names, strict=True)), "left_outer", heavy=heavy)
         flags.append(F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
     if predicate is not None:
@@ -140,7 +139,7 @@ def _cyclic_subset(
     specs: Mapping[str, TableSpec],
     edges: list[_Edge],
     roots: Mapping[str, str],
-    max_rounds: int,
+    max_rounds: int | None,
 ) -> dict[str, DataFrame]:
     """Follow references in rounds over primary keys, first to children, then to parents."""
     missing = [n for n in tables if not specs.get(n, TableSpec(n)).pk]
@@ -163,7 +162,7 @@ def _cyclic_subset(
 
 
 def _rows_of(df: DataFrame, pk: Sequence[str], keys: DataFrame) -> DataFrame:
-    return key_join(df, keys, [(c, c) for c in pk], "left_semi", heavy=[])
+    return key_join(df, keys, [(c, c) for c in pk], "left_semi", heavy=NO_HEAVY_KEYS)
 
 
 def _reach(
@@ -171,7 +170,7 @@ def _reach(
     specs: Mapping[str, TableSpec],
     seeds: Mapping[str, DataFrame],
     steps: Sequence[tuple[str, Sequence[str], str, Sequence[str]]],
-    max_rounds: int,
+    max_rounds: int | None,
 ) -> dict[str, DataFrame]:
     """Primary keys reachable from ``seeds`` over (from, columns, to, columns) steps.
 
@@ -180,19 +179,22 @@ def _reach(
     """
     frontier = {n: cut_lineage(distinct_keys(df, specs[n].pk)) for n, df in seeds.items()}
     known = dict(frontier)
-    heavy: dict[tuple[str, tuple[str, ...]], list[int]] = {}
-    for _ in range(max_rounds):
+    heavy: dict[tuple, HeavyKeys] = {}
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         found: dict[str, list[DataFrame]] = {}
         for origin, origin_cols, to, to_cols in steps:
             if origin not in frontier:
                 continue
             active = _rows_of(tables[origin], specs[origin].pk, frontier[origin])
-            if (to, tuple(to_cols)) not in heavy:
-                heavy[to, tuple(to_cols)] = heavy_keys(tables[to], to_cols)
+            step = (to, tuple(to_cols), origin, tuple(origin_cols))
+            if step not in heavy:
+                types = key_types(tables[to], to_cols, tables[origin], origin_cols)
+                heavy[step] = heavy_keys(tables[to], to_cols, types)
             reached = key_join(
                 tables[to], distinct_keys(active, origin_cols),
-                list(zip(to_cols, origin_cols, strict=True)), "left_semi",
-                heavy=heavy[to, tuple(to_cols)],
+                list(zip(to_cols, origin_cols, strict=True)), "left_semi", heavy=heavy[step],
             )
             found.setdefault(to, []).append(distinct_keys(reached, specs[to].pk))
         frontier = {}
@@ -222,7 +224,7 @@ def null_orphan_fks(
         keys = distinct_keys(parents[fk.parent], fk.parent_cols, names).withColumn("__held", F.lit(True))
         joined = key_join(
             out, keys, list(zip(fk.cols, names, strict=True)), "left_outer",
-            heavy=heavy_keys(child, fk.cols),
+            heavy=heavy_keys(child, fk.cols, key_types(child, fk.cols, keys, names)),
         )
         out = joined.select(
             *[
@@ -299,4 +301,4 @@ def fk_mask_consistency(
 def remaining(source: DataFrame, target: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Source rows whose primary key the target does not hold yet."""
     keys = distinct_keys(target, pk)
-    return key_join(source, keys, [(c, c) for c in pk], "left_anti", heavy=[])
+    return key_join(source, keys, [(c, c) for c in pk], "left_anti", heavy=NO_HEAVY_KEYS)

@@ -3,29 +3,96 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskframe.context import MaskError
 from maskframe.functions.text import quoted
 
-# A key is heavy from this share of the rows on, so there are never more than 1 / share keys.
-HEAVY_SHARE = 1 / 256
-SALTS = 64
+#: A key with more rows than this is spread over as many tasks as it has multiples of it.
+ROWS_PER_TASK = 2_000_000
+#: Items that the frequent-items sketch of a group of partitions tracks, and returns.
 _SKETCH_ITEMS = 8192
+_SKETCH_TOP = 1024
+#: Partitions are sketched in so many groups before one task combines the sketches.
+_SKETCH_GROUPS = 256
 
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
 
-def key_hash(df: DataFrame, cols: Sequence[str], like: DataFrame | None = None, like_cols: Sequence[str] = ()) -> Column:
-    """64-bit hash of a key. With ``like``, key parts are first brought to its types."""
-    parts = [quoted(c) for c in cols]
-    if like is not None:
-        parts = [
-            p.try_cast(like.schema[name].dataType) if df.schema[c].dataType != like.schema[name].dataType else p
-            for p, c, name in zip(parts, cols, like_cols, strict=True)
-        ]
-    return F.xxhash64(*parts)
+
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Hashes of the heavy keys of a frame, and over how many salts their rows are spread."""
+
+    hashes: tuple[int, ...] = ()
+    salts: int = 1
+
+
+NO_HEAVY_KEYS = HeavyKeys()
+
+
+def comparison_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which keys of types ``a`` and ``b`` are compared.
+
+    Whole numbers meet in the wider one, decimals in one that holds both, anything with a
+    floating-point side as double, dates as timestamps where one side is one, and text in the
+    type of the other side, so that ``'07'`` equals 7. Other mixtures are refused.
+    """
+    if a == b:
+        return a
+    if isinstance(b, T.StringType) and not isinstance(a, T.StringType):
+        a, b = b, a
+    if isinstance(a, T.StringType):
+        if isinstance(b, T.StringType):
+            return T.StringType()
+        if isinstance(b, _INTEGERS):
+            return T.LongType()
+        if isinstance(b, (T.FractionalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+            return b
+    if isinstance(a, _INTEGERS) and isinstance(b, _INTEGERS):
+        return max(a, b, key=lambda t: _DIGITS[type(t)])
+    if isinstance(a, (T.FloatType, T.DoubleType)) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    if isinstance(b, (T.FloatType, T.DoubleType)) and isinstance(a, T.NumericType):
+        return T.DoubleType()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        scales = [t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b)]
+        wholes = [t.precision - t.scale if isinstance(t, T.DecimalType) else _DIGITS[type(t)] for t in (a, b)]
+        return T.DecimalType(min(38, max(wholes) + max(scales)), min(max(scales), 38 - min(38, max(wholes))))
+    moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(a, moments) and isinstance(b, moments):
+        return T.TimestampType() if T.TimestampType() in (a, b) else T.TimestampNTZType()
+    raise MaskError(f"keys of types {a.simpleString()} and {b.simpleString()} cannot be compared")
+
+
+def key_types(
+    left: DataFrame, left_cols: Sequence[str], right: DataFrame, right_cols: Sequence[str]
+) -> list[T.DataType]:
+    """The types in which the key parts of two frames are compared."""
+    return [
+        comparison_type(left.schema[a].dataType, right.schema[b].dataType)
+        for a, b in zip(left_cols, right_cols, strict=True)
+    ]
+
+
+def _typed(df: DataFrame, cols: Sequence[str], types: Sequence[T.DataType] | None) -> list[Column]:
+    """Key parts in the types of the comparison; text that is no such value becomes NULL."""
+    if types is None:
+        return [quoted(c) for c in cols]
+    return [
+        quoted(c) if df.schema[c].dataType == t else quoted(c).try_cast(t)
+        for c, t in zip(cols, types, strict=True)
+    ]
+
+
+def key_hash(df: DataFrame, cols: Sequence[str], types: Sequence[T.DataType] | None = None) -> Column:
+    """64-bit hash of a key, its parts first brought to ``types``."""
+    return F.xxhash64(*_typed(df, cols, types))
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -34,17 +101,31 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[quoted(c) for c in plain])
 
 
-def heavy_keys(df: DataFrame, cols: Sequence[str], share: float = HEAVY_SHARE) -> list[int]:
-    """Hashes of the keys holding at least ``share`` of the rows, by a frequent-items sketch.
+def heavy_keys(
+    df: DataFrame,
+    cols: Sequence[str],
+    types: Sequence[T.DataType] | None = None,
+    *,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> HeavyKeys:
+    """The keys with more than ``rows_per_task`` rows, by a frequent-items sketch.
 
-    One pass over the key columns without a shuffle; at most ``1 / share`` longs reach the
-    driver. The choice only steers the physical plan, results never depend on it.
+    One pass over the key columns. Partitions are sketched in groups, so that no task combines
+    more than a few hundred sketches, and at most 1,024 numbers reach the driver. The choice
+    only steers the physical plan, results never depend on it.
     """
-    row = df.select(key_hash(df, cols).alias("h")).agg(
-        F.count("*").alias("n"),
-        F.expr(f"approx_top_k(h, {int(1 / share)}, {_SKETCH_ITEMS})").alias("top"),
+    group = F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS))
+    sketches = df.select(key_hash(df, cols, types).alias("h"), group.alias("g")).groupBy("g").agg(
+        F.expr(f"approx_top_k_accumulate(h, {_SKETCH_ITEMS})").alias("s")
+    )
+    row = sketches.agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_SKETCH_ITEMS}), {_SKETCH_TOP})").alias("top")
     ).first()
-    return [item["item"] for item in row["top"] or [] if item["count"] >= max(2, row["n"] * share)]
+    heavy = [item for item in row["top"] or [] if item["count"] > rows_per_task]
+    if not heavy:
+        return NO_HEAVY_KEYS
+    most = max(item["count"] for item in heavy)
+    return HeavyKeys(tuple(item["item"] for item in heavy), -(-most // rows_per_task))
 
 
 def key_join(
@@ -53,51 +134,50 @@ def key_join(
     on: Sequence[tuple[str, str]],
     how: str,
     *,
-    heavy: list[int] | None = None,
+    heavy: HeavyKeys | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``left`` to a side holding each key once, keeping left's rows whole.
 
-    Rows of heavy keys are spread over salts by a hash of the row, and the few right rows
-    with those keys are repeated once per salt; everything else joins on salt zero. Where no
-    key is heavy the join is left as it is. ``heavy`` takes the result of an earlier
-    :func:`heavy_keys`; an empty list says that left's keys are known not to repeat much.
+    Keys are compared in one type (:func:`comparison_type`), and hashed in it. Rows of heavy
+    keys are spread over salts by a hash of the row and the number of its partition, so equal
+    rows are spread as well and a task that is run again salts them alike. The few right rows
+    with those keys are repeated once per salt; everything else joins on salt zero. Where no key
+    is heavy the join is left as it is. ``heavy`` takes the result of an earlier
+    :func:`heavy_keys` in the same types; :data:`NO_HEAVY_KEYS` says that no key repeats much.
     """
     if how not in ("inner", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     left_cols = [a for a, _ in on]
     right_cols = [b for _, b in on]
+    types = key_types(left, left_cols, right, right_cols)
     if heavy is None:
-        heavy = [] if left.isStreaming else heavy_keys(left, left_cols)
-    if not heavy:
-        return _join(left, right, on, how)
-    salt = F.pmod(row_hash(left), F.lit(SALTS)).cast("int")
-    salted = left.withColumn(
-        "__salt", F.when(key_hash(left, left_cols).isin(heavy), salt).otherwise(0)
-    )
-    repeated = right.withColumn(
-        "__salt_r",
-        F.explode(
-            F.when(
-                key_hash(right, right_cols, left, left_cols).isin(heavy),
-                F.sequence(F.lit(0), F.lit(SALTS - 1)),
-            ).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return _join(salted, repeated, [*on, ("__salt", "__salt_r")], how).drop("__salt")
-
-
-def _join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str) -> DataFrame:
-    """Equi-join on freshly named right keys, so that self-joins stay unambiguous."""
-    renamed = {b: f"__key{i}" for i, (_, b) in enumerate(on)}
+        heavy = NO_HEAVY_KEYS if left.isStreaming else heavy_keys(left, left_cols, types, rows_per_task=rows_per_task)
+    # Different spellings of one key ('7', '07') are one key in the type of the comparison.
+    merged = any(right.schema[b].dataType != t for b, t in zip(right_cols, types, strict=True))
+    names = [f"__key{i}" for i in range(len(on))]
     right = right.select(
-        *[quoted(b).alias(name) for b, name in renamed.items()],
-        *[quoted(c) for c in right.columns if c not in renamed],
-    )
-    condition = reduce(
-        lambda a, b: a & b, [quoted(a) == F.col(renamed[b]) for a, b in on]
+        *[c.alias(n) for c, n in zip(_typed(right, right_cols, types), names, strict=True)],
+        *[quoted(c) for c in right.columns if c not in right_cols],
     )
-    out = left.join(right, condition, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*renamed.values())
+    if merged:
+        right = right.dropDuplicates(names)
+    pairs = list(zip(_typed(left, left_cols, types), [F.col(n) for n in names], strict=True))
+    if heavy.hashes:
+        salt = F.pmod(F.xxhash64(row_hash(left), F.spark_partition_id()), F.lit(heavy.salts)).cast("int")
+        left = left.withColumn(
+            "__salt", F.when(key_hash(left, left_cols, types).isin(*heavy.hashes), salt).otherwise(0)
+        )
+        salts = F.sequence(F.lit(0), F.lit(heavy.salts - 1))
+        right = right.withColumn(
+            "__salt_r",
+            F.explode(F.when(F.xxhash64(*names).isin(*heavy.hashes), salts).otherwise(F.array(F.lit(0)))),
+        )
+        pairs.append((F.col("__salt"), F.col("__salt_r")))
+    out = left.join(right, reduce(lambda a, b: a & b, [a == b for a, b in pairs]), how)
+    if how not in ("left_semi", "left_anti"):
+        out = out.drop(*names, "__salt_r")
+    return out.drop("__salt")
 
 
 def distinct_keys(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from maskframe import Fake, ForeignKey, Hash, MaskError, Null, Static, TableSpec, mask_table
 from maskframe.operators import audit, detect, drift, profile, references, referential, rules, verify
-from maskframe.operators.skew import heavy_keys, key_join
+from maskframe.operators.skew import NO_HEAVY_KEYS, heavy_keys, key_join
 
 
 def rows(df):
@@ -281,16 +281,59 @@ def test_exclude_conflicts(spark):
 def test_heavy_keys_give_the_same_rows(spark, how, hot_known):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id") % 500).alias("k"))
     right = spark.range(400).where("id <> 7" if not hot_known else "true").select(F.col("id").cast("int").alias("r"), F.concat(F.lit("v"), "id").alias("v"))
-    assert len(heavy_keys(left, ["k"])) >= 2
-    salted = key_join(left, right, [("k", "r")], how)
-    plain = key_join(left, right, [("k", "r")], how, heavy=[])
+    assert len(heavy_keys(left, ["k"], rows_per_task=500).hashes) == 2
+    salted = key_join(left, right, [("k", "r")], how, rows_per_task=500)
+    plain = key_join(left, right, [("k", "r")], how, heavy=NO_HEAVY_KEYS)
     assert salted.columns == plain.columns
     assert verify.diff_runs(salted, plain).count() == 0
 
 
+MIXED = {
+    "text and int": ("concat('0', id % 3)", "cast(id AS int)"),
+    "int and text": ("cast(id % 3 AS int)", "concat('00', id)"),
+    "decimal scales": ("cast(id % 3 AS decimal(10,2))", "cast(id AS decimal(12,4))"),
+    "double and bigint": ("cast(id % 3 AS double)", "id"),
+    "date and timestamp": ("date_add(date'2020-01-01', cast(id % 3 AS int))", "cast(date_add(date'2020-01-01', cast(id AS int)) AS timestamp)"),
+    "text that is no number": ("if(id % 3 = 0, 'x', '1')", "cast(id AS int)"),
+}
+
+
+@pytest.mark.parametrize("case", MIXED)
+def test_unequal_key_types_survive_salting(spark, case):
+    own, other = MIXED[case]
+    left, right = spark.range(900).selectExpr(f"{own} AS k"), spark.range(2).selectExpr(f"{other} AS r")
+    for how in ("left_semi", "left_anti"):
+        salted = key_join(left, right, [("k", "r")], how, rows_per_task=100)
+        plain = key_join(left, right, [("k", "r")], how, heavy=NO_HEAVY_KEYS)
+        hits = 600
+        assert salted.count() == plain.count() == (hits if how == "left_semi" else 900 - hits)
+
+
+def test_equal_rows_of_a_heavy_key_are_spread(spark):
+    left = spark.range(0, 1000, 1, 8).select(F.lit(7).alias("k"))
+    joined = key_join(left, spark.range(10), [("k", "id")], "left_semi", rows_per_task=100)
+    plan = joined._jdf.queryExecution().toString()
+    assert "__salt" in plan and "SPARK_PARTITION_ID" in plan
+    assert joined.count() == 1000
+
+
+def test_keys_of_other_types_are_refused(spark):
+    with pytest.raises(MaskError):
+        key_join(spark.range(3), spark.range(3).selectExpr("array(id) AS r"), [("id", "r")], "left_semi")
+
+
+def test_text_keys_keep_their_children_and_parents(spark):
+    parents = spark.range(20).selectExpr("cast(id AS int) AS id")
+    children = spark.range(1000).selectExpr("id AS n", "lpad(cast(if(id % 3 = 0, 7, id % 20) AS string), 4, '0') AS p")
+    specs = {"p": TableSpec("p", pk=("id",)), "c": TableSpec("c", pk=("n",), fks=(ForeignKey(("p",), "p", ("id",)),))}
+    kept = referential.subset({"p": parents, "c": children}, specs, {"p": "true"})
+    assert kept["c"].count() == 1000
+    assert referential.null_orphan_fks(children, {"p": parents}, specs["c"]).where("p IS NULL").count() == 0
+
+
 def test_no_heavy_key_leaves_the_join_alone(spark):
     left = spark.range(10_000).withColumnRenamed("id", "k")
-    assert heavy_keys(left, ["k"]) == []
+    assert heavy_keys(left, ["k"]) == NO_HEAVY_KEYS
     assert "__salt" not in key_join(left, spark.range(5), [("k", "id")], "left_semi")._jdf.queryExecution().toString()
 
 
