@@ -42,7 +42,7 @@ def template_windows(text: Column) -> Column:
     In the first view names, numbers and units are placeholders; in the second names are
     words like any other, so that a copy that lost its capitals is still found. A window that
     both views have alike is listed once. ``key`` hashes the template, ``slots`` holds the
-    values that the placeholders stand for, in order.
+    values that the placeholders stand for, in order; it is null in texts without any.
     """
 
     # Marked names and numbers are the only tokens that sort before the letter a.
@@ -60,10 +60,7 @@ def template_windows(text: Column) -> Column:
         def one(h: Column, i: Column) -> Column:
             key = F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])
             slots = F.array_compact(F.array(*[F.get(values, i + k) for k in range(WINDOW)]))
-            none = F.array().cast("array<string>")
-            return F.struct(
-                i.alias("pos"), key.alias("key"), F.when(any_slot, slots).otherwise(none).alias("slots")
-            )
+            return F.struct(i.alias("pos"), key.alias("key"), F.when(any_slot, slots).alias("slots"))
 
         return F.slice(F.transform(hashes, one), F.lit(1), F.size(hashes) - (WINDOW - 1))
 
@@ -73,7 +70,10 @@ def template_windows(text: Column) -> Column:
         named = F.exists(words, lambda x: x < "0")
 
         def first(values: Column) -> Column:
-            return let(F.transform(words, typed), lambda h: windows(h, values, F.exists(values, lambda v: v.isNotNull())))
+            # Bound outside of the windows: asked once per text, not once per window.
+            return let(F.transform(words, typed), lambda h: let(
+                F.exists(values, lambda v: v.isNotNull()), lambda some: windows(h, values, some)
+            ))
 
         def second(values: Column) -> Column:
             return let(F.transform(words, spoken), lambda h: windows(h, values, F.lit(True)))
@@ -121,7 +121,7 @@ def contaminated(
     """
     items = benchmark.select(
         quoted(item).alias("item"), F.inline(template_windows(text_of(item_text)))
-    ).where(F.size("slots") <= WINDOW - LEAST_LITERAL).distinct()
+    ).where(F.col("slots").isNull() | (F.size("slots") <= WINDOW - LEAST_LITERAL)).distinct()
     items = written(items.select("item", F.col("pos").alias("place"), "key", F.col("slots").alias("given")), "items")
     sizes = items.groupBy("item").agg(_covered(F.collect_set("place")).alias("words"))
     if items.count() <= MAX_BROADCAST_WINDOWS:
@@ -129,7 +129,7 @@ def contaminated(
     body = text_of(text)
     windows = docs.select(
         quoted(key).alias("id"), F.xxhash64(body).alias("hash"), template_windows(body).alias("windows")
-    ).select("id", "hash", F.inline("windows"))
+    ).select("id", "hash", F.inline_outer("windows"))  # unlike inline, not computed once more as a filter
     hits = windows.join(items, "key").select(
         "id", "hash", "item", "place", (F.col("pos") - F.col("place")).alias("shift"),
         F.arrays_zip("given", "slots").alias("pairs"),
