@@ -144,17 +144,17 @@ def _free_text_sql(table_id: str, column: str, pattern: str, source: str, expr:
     name = table_id.split(".")[1]
     context = "sensitive" if name in ("customers", "tickets") else "low" if name == "products" else "neutral"
     wide = {
-        "sensitive": ("high", "sensitive table context"), "neutral": ("high", None),
-        "low": ("medium", "low-sensitivity table context downgrades confidence"),
+        "sensitive": ("high", "table name speaks for it"), "neutral": ("high", None),
+        "low": ("medium", "table name speaks against it"),
     }[context]
     middle = "medium" if context == "sensitive" else "low"
-    middle_note = "borderline avg_width on sensitive table" if context == "sensitive" else "avg_width below freeform threshold"
+    middle_note = "short text, but the table name speaks for it" if context == "sensitive" else "text too short for prose"
     wide_note = f" || '; {wide[1]}'" if wide[1] else ""
     action = "'ner_mask'" if wide[0] == "high" else "NULL"
     return f"""SELECT '{table_id}' AS table_id, '{column}' AS column_name,
         CASE WHEN w >= 200 THEN '{wide[0]}' WHEN w >= 100 THEN '{middle}' ELSE 'low' END AS confidence,
-        'matched pattern {pattern}; column type is freeform-eligible; avg_width=' || round_even(w, 0)::BIGINT::VARCHAR ||
-          CASE WHEN w >= 200 THEN ''{wide_note} WHEN w >= 100 THEN '; {middle_note}' ELSE '; avg_width below freeform threshold' END AS reasons,
+        'matched pattern {pattern}; column can hold prose; mean bytes ' || round_even(w, 0)::BIGINT::VARCHAR ||
+          CASE WHEN w >= 200 THEN ''{wide_note} WHEN w >= 100 THEN '; {middle_note}' ELSE '; text too short for prose' END AS reasons,
         CASE WHEN w >= 200 THEN {action} END AS action, NULL AS provider, '{pattern}' AS matched_pattern, 'autodetect' AS source
         FROM (SELECT avg(octet_length(encode({expr}))) AS w FROM {source})"""
 
@@ -339,9 +339,9 @@ def not_null_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "row_count_parity",
     """SELECT 'table.row_count' AS "check", 'fail' AS verdict, 'lineitem' AS target,
-        'Row count differs: source=' || s || ', target=' || t || '.' AS detail, t - s AS metric
+        s || ' source rows against ' || t AS detail, t - s AS metric
         FROM (SELECT count(*) AS s, count(*) FILTER (l_quantity > 5) AS t FROM lineitem)
-       UNION ALL SELECT 'table.row_count', 'pass', 'orders', 'Row count matches (' || count(*) || ').', 0 FROM orders""",
+       UNION ALL SELECT 'table.row_count', 'pass', 'orders', count(*) || ' rows on both sides', 0 FROM orders""",
 )
 def row_count_parity(spark: SparkSession, sf: str) -> DataFrame:
     lineitem, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
@@ -353,7 +353,7 @@ def row_count_parity(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "uniqueness",
     """SELECT 'table.uniqueness' AS "check", CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END AS verdict, target,
-        CASE WHEN n = 0 THEN 'Uniqueness preserved.' ELSE n || ' duplicate group(s) after masking.' END AS detail, n AS metric FROM (
+        CASE WHEN n = 0 THEN 'no key repeats' ELSE n || ' repeated key(s)' END AS detail, n AS metric FROM (
         SELECT 'lineitem(l_orderkey, l_linenumber)' AS target, count(*) AS n FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
         UNION ALL SELECT 'lineitem(l_comment_id)', 0
         UNION ALL SELECT 'customer(c_custkey)', 0 UNION ALL SELECT 'customer(c_name)', 0)""",
@@ -367,7 +367,7 @@ def uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "fk_integrity",
     """SELECT 'table.fk_integrity' AS "check", CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END AS verdict, target,
-        CASE WHEN n = 0 THEN 'Foreign-key integrity preserved.' ELSE n || ' orphaned foreign-key row(s) in target.' END AS detail, n AS metric FROM (
+        CASE WHEN n = 0 THEN 'every key has its parent' ELSE n || ' row(s) without a parent' END AS detail, n AS metric FROM (
         SELECT 'orders(o_custkey)' AS target, count(*) FILTER (o_custkey % 7 = 0) AS n FROM orders
         UNION ALL SELECT 'lineitem(l_orderkey)', count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)) FROM lineitem
         UNION ALL SELECT 'lineitem(l_partkey)', 0 UNION ALL SELECT 'lineitem(l_suppkey)', 0)""",
@@ -424,9 +424,9 @@ def column_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "change_rate",
     f"""SELECT 'column.change_rate' AS "check", CASE WHEN changed = 0 THEN 'fail' WHEN changed < total THEN 'warn' ELSE 'pass' END AS verdict,
-        'orders.' || column_name AS target, CASE WHEN changed = 0 THEN 'Masked column unchanged in all sampled rows (mask not applied?).'
-          WHEN changed < total THEN 'Only ' || round_even(100.0 * changed / total, 0)::BIGINT || '% of sampled values changed; ' || (total - changed) || ' original value(s) survived.'
-          ELSE 'All ' || total || ' sampled value(s) changed.' END AS detail, changed AS metric
+        'orders.' || column_name AS target, CASE WHEN changed = 0 THEN 'no value differs from its original'
+          WHEN changed < total THEN round_even(100.0 * changed / total, 0)::BIGINT || '% changed, originals left: ' || (total - changed)
+          ELSE 'changed: all of ' || total END AS detail, changed AS metric
         FROM ({_STATS_SQL}) WHERE column_name IN ('o_custkey', 'o_orderpriority', 'o_orderstatus')""",
 )
 def change_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -438,7 +438,7 @@ def change_rate(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "passthrough_drift",
     f"""SELECT 'column.passthrough_drift' AS "check", CASE WHEN changed > 0 THEN 'fail' ELSE 'pass' END AS verdict, 'orders.' || column_name AS target,
-        CASE WHEN changed > 0 THEN changed || ' passthrough value(s) changed unexpectedly.' ELSE 'Passthrough column unchanged.' END AS detail,
+        CASE WHEN changed > 0 THEN changed || ' value(s) differ where none should' ELSE 'every value is the original' END AS detail,
         changed AS metric FROM ({_STATS_SQL})""",
 )
 def passthrough_drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -460,24 +460,23 @@ def _verification(spark: SparkSession, sf: str) -> DataFrame:
 
 _VERIFY_SQL = """
   SELECT 'table.row_count' AS "check", 'fail' AS verdict, 'customer' AS target,
-    'Row count differs: source=' || count(*) || ', target=' || count(*) FILTER (c_custkey % 7 <> 0) || '.' AS detail,
+    count(*) || ' source rows against ' || count(*) FILTER (c_custkey % 7 <> 0) AS detail,
     count(*) FILTER (c_custkey % 7 <> 0) - count(*) AS metric FROM customer
-  UNION ALL SELECT 'table.row_count', 'pass', 'nation', 'Row count matches (' || count(*) || ').', 0 FROM nation
-  UNION ALL SELECT 'table.row_count', 'pass', 'orders', 'Row count matches (' || count(*) || ').', 0 FROM orders
-  UNION ALL SELECT 'table.row_count', 'pass', 'lineitem', 'Row count matches (' || count(*) || ').', 0 FROM lineitem
-  UNION ALL SELECT 'table.uniqueness', 'pass', u, 'Uniqueness preserved.', 0 FROM (VALUES ('customer(c_custkey)'), ('customer(c_name)'), ('nation(n_nationkey)'), ('orders(o_orderkey)')) v(u)
-  UNION ALL SELECT 'table.fk_integrity', 'pass', 'customer(c_nationkey)', 'Foreign-key integrity preserved.', 0
-  UNION ALL SELECT 'table.fk_integrity', 'fail', 'orders(o_custkey)', count(*) || ' orphaned foreign-key row(s) in target.', count(*) FROM orders WHERE o_custkey % 7 = 0
-  UNION ALL SELECT 'table.fk_integrity', 'pass', 'lineitem(l_orderkey)', 'Foreign-key integrity preserved.', 0
-  UNION ALL SELECT 'table.no_single_pk', 'warn', 'lineitem', 'No single-column primary key; row-level checks skipped.', NULL
-  UNION ALL SELECT 'column.passthrough_drift', 'pass', c, 'Passthrough column unchanged.', 0 FROM (VALUES
+  UNION ALL SELECT 'table.row_count', 'pass', 'nation', count(*) || ' rows on both sides', 0 FROM nation
+  UNION ALL SELECT 'table.row_count', 'pass', 'orders', count(*) || ' rows on both sides', 0 FROM orders
+  UNION ALL SELECT 'table.row_count', 'pass', 'lineitem', count(*) || ' rows on both sides', 0 FROM lineitem
+  UNION ALL SELECT 'table.uniqueness', 'pass', u, 'no key repeats', 0 FROM (VALUES ('customer(c_custkey)'), ('customer(c_name)'), ('nation(n_nationkey)'), ('orders(o_orderkey)')) v(u)
+  UNION ALL SELECT 'table.fk_integrity', 'pass', 'customer(c_nationkey)', 'every key has its parent', 0
+  UNION ALL SELECT 'table.fk_integrity', 'fail', 'orders(o_custkey)', count(*) || ' row(s) without a parent', count(*) FROM orders WHERE o_custkey % 7 = 0
+  UNION ALL SELECT 'table.fk_integrity', 'pass', 'lineitem(l_orderkey)', 'every key has its parent', 0
+  UNION ALL SELECT 'table.no_pk', 'warn', 'lineitem', 'rows not compared for want of a primary key', NULL
+  UNION ALL SELECT 'column.passthrough_drift', 'pass', c, 'every value is the original', 0 FROM (VALUES
     ('customer.c_custkey'), ('customer.c_nationkey'), ('customer.c_acctbal'), ('nation.n_nationkey'), ('nation.n_regionkey'),
     ('orders.o_orderkey'), ('orders.o_custkey'), ('orders.o_orderstatus'), ('orders.o_totalprice'), ('orders.o_orderdate')) v(c)
-  UNION ALL SELECT 'column.change_rate', 'pass', c, 'All ' || n || ' sampled value(s) changed.', n
+  UNION ALL SELECT 'column.change_rate', 'pass', c, 'changed: all of ' || n, n
     FROM (VALUES ('customer.c_name'), ('customer.c_mktsegment')) v(c), (SELECT count(*) AS n FROM customer WHERE c_custkey % 7 <> 0)
-  UNION ALL SELECT 'column.change_rate', 'fail', 'nation.n_name', 'Masked column unchanged in all sampled rows (mask not applied?).', 0
-  UNION ALL SELECT 'column.change_rate', 'warn', 'orders.o_orderpriority', 'Only ' || round_even(100.0 * c / n, 0)::BIGINT ||
-    '% of sampled values changed; ' || (n - c) || ' original value(s) survived.', c
+  UNION ALL SELECT 'column.change_rate', 'fail', 'nation.n_name', 'no value differs from its original', 0
+  UNION ALL SELECT 'column.change_rate', 'warn', 'orders.o_orderpriority', round_even(100.0 * c / n, 0)::BIGINT || '% changed, originals left: ' || (n - c), c
     FROM (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 0) AS c FROM orders)
 """
 

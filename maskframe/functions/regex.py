@@ -12,18 +12,12 @@ from pyspark.sql import types as T
 from maskframe.context import MaskError
 from maskframe.functions.text import SPACES
 
-MAX_INPUT_CHARS = 65_536
-
 # Accepted flag names.
 REGEX_FLAGS = frozenset({
     "ASCII", "DEBUG", "DOTALL", "IGNORECASE", "LOCALE", "MULTILINE", "TEMPLATE", "UNICODE",
     "VERBOSE",
 })
 
-# A group without nested groups under an unbounded quantifier, and what makes it dangerous.
-_REPEATED_GROUP = re.compile(r"\((?P<inside>[^()]*)\)(?:\*|\+|\{\d+,\})")
-_BACKTRACKS = re.compile(r"\||\*|\+|\{\d+,\}")
-
 # Pieces written the same in both dialects, once the class shorthands are spelled out.
 _SHARED_PIECE = re.compile(
     r"""
@@ -54,10 +48,42 @@ def check_pattern(pattern: str, flags: tuple[str, ...] = ()) -> None:
         re.compile(pattern)
     except re.error as exc:
         raise MaskError(f"invalid regex: {exc}") from exc
-    if any(_BACKTRACKS.search(m["inside"]) for m in _REPEATED_GROUP.finditer(pattern)):
-        raise MaskError(
-            "pattern repeats, without bound, a group holding a quantifier or an alternation"
-        )
+    if _may_explode(pattern):
+        raise MaskError("a group that can match in several ways is repeated without bound")
+
+
+_UNBOUNDED = re.compile(r"[*+]|\{\d*,\}")
+
+
+def _may_explode(pattern: str) -> bool:
+    """Whether an unbounded quantifier repeats a group that itself holds one, or a choice.
+
+    Walks the pattern once and keeps, for every open group, whether it holds such a thing;
+    a group inside hands its answer on to the one around it.
+    """
+    open_groups, at = [False], 0
+    while at < len(pattern):
+        char, at = pattern[at], at + 1
+        if char == "\\":
+            at += 1
+        elif char == "[":
+            at += pattern[at:at + 1] == "^"
+            at += pattern[at:at + 1] == "]"
+            while at < len(pattern) and pattern[at] != "]":
+                at += 2 if pattern[at] == "\\" else 1
+            at += 1
+        elif char == "(":
+            open_groups.append(False)
+        elif char == "|":
+            open_groups[-1] = True
+        elif char == ")" and len(open_groups) > 1:
+            varied = open_groups.pop()
+            if varied and _UNBOUNDED.match(pattern, at):
+                return True
+            open_groups[-1] |= varied
+        elif _UNBOUNDED.match(pattern, at - 1):
+            open_groups[-1] = True
+    return False
 
 
 def java_pattern(pattern: str, flags: tuple[str, ...] = ()) -> str | None:
@@ -115,15 +141,22 @@ def _arrow_substitute(pattern: str, replacement: str, flags: tuple[str, ...]):
 
 
 def regex_replace(
-    c: Column, pattern: str, replacement: str, flags: tuple[str, ...] = (), path: str = "column"
+    c: Column,
+    pattern: str,
+    replacement: str,
+    flags: tuple[str, ...] = (),
+    path: str = "column",
+    max_chars: int | None = None,
 ) -> Column:
-    """``re.sub`` over each value. Values above the length bound raise an error."""
+    """``re.sub`` over each value, whatever its length.
+
+    ``max_chars`` ends the job on a longer value, with an error that names only the column.
+    """
     check_pattern(pattern, flags)
-    failure = F.raise_error(
-        F.lit(f"{path}: value exceeds the {MAX_INPUT_CHARS} character limit of regex_mask")
-    ).cast("string")
-    bounded = F.when(F.char_length(c) <= MAX_INPUT_CHARS, c).when(c.isNotNull(), failure)
+    if max_chars is not None:
+        failure = F.raise_error(F.lit(f"{path}: value exceeds {max_chars} characters")).cast("string")
+        c = F.when(F.char_length(c) <= max_chars, c).when(c.isNotNull(), failure)
     native, replaced = java_pattern(pattern, flags), java_replacement(replacement)
     if native is not None and replaced is not None:
-        return F.regexp_replace(bounded, native, replaced)
-    return _arrow_substitute(pattern, replacement, flags)(bounded)
+        return F.regexp_replace(c, native, replaced)
+    return _arrow_substitute(pattern, replacement, flags)(c)

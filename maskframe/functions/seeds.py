@@ -75,15 +75,40 @@ class Seed:
         raise IndexError("a seed has 16 bytes")
 
     def mod(self, n: int, skip: int = 0) -> Column:
-        """Big-endian integer of the bytes after ``skip``, modulo ``n``."""
+        """Big-endian integer of the bytes after ``skip``, modulo ``n``.
+
+        A long up to moduli of 63 bits, and a decimal beyond.
+        """
         if n < 1:
             raise ValueError("modulus must be >= 1")
-        if n.bit_length() > 54:
-            raise ValueError("moduli above 54 bits are not supported")
         parts = self._tail(skip)
-        fold = self._weighted if n.bit_length() <= 30 else self._horner
+        if n.bit_length() > 54:
+            fold = self._decimal
+        else:
+            fold = self._weighted if n.bit_length() <= 30 else self._horner
         return self._residue("mod", n, skip, lambda: fold(parts, n))
 
+    def digits(self) -> Column:
+        """The whole seed as a number of 54 decimal digits, zeros in front."""
+        return self._residue("digits", 0, 0, self._decimal_digits)
+
+    def _decimal_digits(self) -> Column:
+        """Three numbers of 18 digits, carried on while the limbs are fed in from the top."""
+        base = F.lit(10**18).cast("decimal(19,0)")
+
+        def carry(value: Column) -> tuple[Column, Column]:
+            low = (value % base).cast("decimal(18,0)")
+            return low, ((value - low) / base).cast("decimal(20,0)")
+
+        def shifted(value: Column, bits: int, more: Column) -> Column:
+            return (value * F.lit(1 << bits).cast("decimal(18,0)") + more).cast("decimal(38,0)")
+
+        first, second, third = [limb.cast("decimal(18,0)") for limb in self._limbs]
+        low, middle = carry(shifted(first, 8 * LIMB_BYTES[1], second))
+        low, over = carry(shifted(low, 8 * LIMB_BYTES[2], third))
+        middle, high = carry(shifted(middle, 8 * LIMB_BYTES[2], over))
+        return F.concat(*[F.lpad(part.cast("decimal(18,0)").cast("string"), 18, "0") for part in (high, middle, low)])
+
     def reversed_mod(self, n: int) -> Column:
         """The same with the byte order reversed."""
         def build() -> Column:
@@ -115,6 +140,24 @@ class Seed:
             total = term if total is None else total + term
         return total % F.lit(n)
 
+    @staticmethod
+    def _decimal(parts: list[tuple[Column, int]], n: int) -> Column:
+        """The same in decimals of 38 digits, which hold 126 bits."""
+        step = min(56, 126 - n.bit_length())
+        if step < 8:
+            raise ValueError("moduli above 118 bits do not fit a decimal; use digits()")
+        modulus, rest = F.lit(str(n)).cast("decimal(38,0)"), None
+        for limb, bits in parts:
+            while bits:
+                width = min(step, bits)
+                bits -= width
+                piece = F.shiftright(limb, bits).bitwiseAND(F.lit((1 << width) - 1)).cast("decimal(38,0)")
+                if rest is not None:
+                    weight = F.lit(str(1 << width)).cast("decimal(38,0)")
+                    piece = ((rest * weight).cast("decimal(38,0)") + piece).cast("decimal(38,0)")
+                rest = (piece % modulus).cast("decimal(38,0)")
+        return rest.cast("long") if n.bit_length() <= 63 else rest
+
     @staticmethod
     def _horner(parts: list[tuple[Column, int]], n: int) -> Column:
         """Feed the bits from the top in pieces small enough for long arithmetic."""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskframe.functions.seeds import Seed
 
+_SEED_DIGITS = 54
+
 
 def _token(seed: Seed) -> Column:
     return F.substring(seed.hex, 1, 16)
@@ -27,34 +27,30 @@ def unique_date(base: Column, seed: Seed) -> Column:
     return F.date_add(base.cast("date"), (seed.mod(3650) + F.lit(1)).cast("int")).cast("string")
 
 
-def unique_numeric(base: Column, seed: Seed, widths: tuple[int, ...] = (5, 15, 16)) -> Column:
-    """Remap a digit string to the seed modulo 10^width. ``widths`` are the possible widths."""
-    remapped = None
-    for width in widths:
-        digits = F.lpad(seed.mod(10**width).cast("string"), width, "0")
-        here = F.length(base) == width
-        remapped = F.when(here, digits) if remapped is None else remapped.when(here, digits)
-    return remapped
+def unique_numeric(base: Column, seed: Seed) -> Column:
+    """Remap a digit string to the seed modulo ten to its width; a minus sign stays in front.
+
+    The residue is the last digits of the seed, so every width is served alike.
+    """
+    sign = F.when(base.startswith("-"), F.lit("-")).otherwise("")
+    width = F.length(base) - F.length(sign)
+    digits = F.lpad(seed.digits(), F.greatest(width, F.lit(_SEED_DIGITS)), F.lit("0"))
+    return F.when(base == "", base).otherwise(F.concat(sign, F.right(digits, width)))
 
 
 def unique_text(base: Column, seed: Seed) -> Column:
     return F.concat(base, F.lit("__"), _token(seed))
 
 
-@F.pandas_udf(T.StringType())
-def _remap_digits(base: pd.Series, hex_seed: pd.Series) -> pd.Series:
-    def remap(text: str | None, seed: str | None) -> str | None:
-        if text is None or seed is None:
-            return None
-        width = len(text.lstrip("-"))
-        remapped = str(int(seed, 16) % 10**width).zfill(width)
-        return "-" + remapped if text.startswith("-") else remapped
+def unique_suffix(base: Column, seed: Seed, shape: str) -> Column:
+    """Pick the suffix by output shape; ``any`` (custom providers) decides per value.
 
-    return pd.Series([remap(t, s) for t, s in zip(base, hex_seed, strict=True)], dtype=object)
+    Empty text stays empty.
+    """
+    return F.when(base == "", base).otherwise(_suffixed(base, seed, shape))
 
 
-def unique_suffix(base: Column, seed: Seed, shape: str) -> Column:
-    """Pick the suffix by output shape; ``any`` (custom providers) decides per value."""
+def _suffixed(base: Column, seed: Seed, shape: str) -> Column:
     if shape == "email":
         return unique_email(base, seed)
     if shape == "fixed":
@@ -69,6 +65,6 @@ def unique_suffix(base: Column, seed: Seed, shape: str) -> Column:
     digits = F.when(base.rlike(r"^-?\d+$"), base)
     return (
         F.when(is_date, unique_date(F.when(is_date, base), seed))
-        .when(digits.isNotNull(), _remap_digits(digits, seed.hex))
+        .when(digits.isNotNull(), unique_numeric(digits, seed))
         .otherwise(unique_text(base, seed))
     )

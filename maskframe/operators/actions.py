@@ -71,6 +71,7 @@ class RegexMask(Action):
     pattern: str
     replace: str
     flags: tuple[str, ...] = ()
+    max_chars: int | None = None
 
     def __post_init__(self) -> None:
         check_pattern(self.pattern, self.flags)

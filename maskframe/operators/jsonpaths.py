@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,7 @@ from maskframe.functions.text import nfc
 from maskframe.operators import actions as act
 
 REMOVE = "remove"
+_SCAN = json.JSONDecoder().scan_once
 
 
 class JsonPlan:
@@ -24,7 +26,7 @@ class JsonPlan:
 
     The document is parsed once and replacement values are built in the JVM. With a declared
     schema the document is rebuilt there too; otherwise only the named fields are parsed and
-    a small pandas UDF writes their new values back, so that all other fields survive.
+    a small pandas UDF puts their new values in their places, so that all else stays as written.
     """
 
     def __init__(
@@ -85,17 +87,26 @@ class JsonPlan:
             return self._rebuilt()
         masked = [F.lit(None).cast("string") if v is None else v for v in self._values.values()]
         nulled = [n for n, v in self._values.items() if v is None]
-        patch = _patcher(list(self._values), nulled, self._removed)
+        patch = _patcher(list(self._values), nulled, self._removed, self._path)
         return patch(self._source, F.array(*masked) if masked else F.array().cast("array<string>"))
 
     def _rebuilt(self) -> Column:
-        """Replace or drop fields of the parsed document; masked fields become strings."""
+        """Replace or drop fields of the parsed document; masked fields become strings.
+
+        Null fields are kept as null, and so are fields of the schema that the document lacks.
+        A document that is no JSON ends the job with an error that names only the column.
+        """
         doc = self._doc
         for json_path, value in self._values.items():
             doc = doc.withField(json_path, F.lit(None).cast("string") if value is None else value)
         for json_path in self._removed:
             doc = doc.dropFields(json_path)
-        return F.when(self._source.isNotNull(), F.to_json(doc))
+        broken = F.raise_error(F.lit(f"{self._path}: not a JSON document")).cast("string")
+        return (
+            F.when(self._source == "", self._source)
+            .when(F.try_parse_json(self._source).isNull() & self._source.isNotNull(), broken)
+            .when(self._source.isNotNull(), F.to_json(doc, {"ignoreNullFields": "false"}))
+        )
 
 
 def _schema_of(paths: Iterable[str]) -> T.StructType:
@@ -120,7 +131,7 @@ def _schema_of(paths: Iterable[str]) -> T.StructType:
     return build(tree)
 
 
-def _patcher(names: list[str], nulled: list[str], removed: list[str]):
+def _patcher(names: list[str], nulled: list[str], removed: list[str], path: str):
     @F.pandas_udf(T.StringType())
     def patch(documents: pd.Series, values: pd.Series) -> pd.Series:
         out = []
@@ -128,30 +139,87 @@ def _patcher(names: list[str], nulled: list[str], removed: list[str]):
             if text is None or text == "":
                 out.append(text)
                 continue
-            doc = json.loads(text)
-            for name, value in zip(names, masked, strict=True):
-                _write(doc, name, value, name in nulled)
-            for name in removed:
-                holder, leaf = _holder(doc, name)
-                if holder is not None:
-                    holder.pop(leaf, None)
-            out.append(json.dumps(doc, ensure_ascii=False, separators=(",", ":")))
+            new = dict(zip(names, masked, strict=True))
+            try:
+                edits = sorted(_edits(text, new, frozenset(nulled), frozenset(removed)))
+            except (ValueError, IndexError):
+                raise MaskError(f"{path}: not a JSON document") from None
+            parts, at = [], 0
+            for start, end, piece in edits:
+                parts += [text[at:start], piece]
+                at = end
+            out.append("".join(parts) + text[at:])
         return pd.Series(out, dtype=object)
 
     return patch
 
 
-def _holder(doc: object, path: str) -> tuple[dict | None, str]:
-    """The object that holds the last part of ``path``, if the document has it."""
-    *parents, leaf = path.split(".")
-    for part in parents:
-        doc = doc.get(part) if isinstance(doc, Mapping) else None
-    return (doc, leaf) if isinstance(doc, dict) and leaf in doc else (None, leaf)
-
-
-def _write(doc: object, path: str, value: str | None, nulled: bool) -> None:
-    holder, leaf = _holder(doc, path)
-    if holder is None or holder[leaf] is None:
-        return
-    if nulled or value is not None:
-        holder[leaf] = None if nulled else value
+_BLANK = " \t\n\r"
+
+
+def _after_blanks(text: str, at: int) -> int:
+    while text[at] in _BLANK:
+        at += 1
+    return at
+
+
+def _end(text: str, at: int) -> int:
+    """Where the value that begins at ``at`` ends."""
+    try:
+        return _SCAN(text, at)[1]
+    except StopIteration:
+        raise ValueError from None
+
+
+def _members(text: str, at: int) -> Iterator[tuple[str, int, int, int]]:
+    """Key, start of the key, and start and end of the value, of an object that begins at ``at``."""
+    at = _after_blanks(text, at + 1)
+    while text[at] != "}":
+        start = at
+        key, at = scanstring(text, at + 1)
+        at = _after_blanks(text, at)
+        if text[at] != ":":
+            raise ValueError
+        begin = _after_blanks(text, at + 1)
+        at = _end(text, begin)
+        yield key, start, begin, at
+        at = _after_blanks(text, at)
+        if text[at] == ",":
+            at = _after_blanks(text, at + 1)
+            if text[at] != '"':
+                raise ValueError
+        elif text[at] != "}":
+            raise ValueError
+
+
+def _edits(
+    text: str, new: Mapping[str, str | None], nulled: frozenset[str], removed: frozenset[str]
+) -> Iterator[tuple[int, int, str]]:
+    """Stretches of the document to replace; all else stays to the letter, numbers included."""
+    root = _after_blanks(text, 0)
+    if text[_end(text, root):].strip(_BLANK):
+        raise ValueError
+    paths = {*new, *removed}
+
+    def within(at: int, prefix: str) -> Iterator[tuple[int, int, str]]:
+        members = list(_members(text, at))
+        gone = [prefix + key in removed for key, *_ in members]
+        for i, (key, start, begin, end) in enumerate(members):
+            name = prefix + key
+            if gone[i]:
+                # With the comma behind it, or the one before where nothing that stays follows.
+                if not all(gone[i:]):
+                    yield start, members[i + 1][1], ""
+                else:
+                    kept = [m for m, g in zip(members[:i], gone, strict=False) if not g]
+                    if i == 0 or not gone[i - 1]:
+                        yield (kept[-1][3] if kept else start), members[-1][3], ""
+            elif name in new:
+                value = new[name]
+                if text[begin:end] != "null" and (name in nulled or value is not None):
+                    yield begin, end, "null" if name in nulled else json.dumps(value, ensure_ascii=False)
+            elif text[begin] == "{" and any(p.startswith(name + ".") for p in paths):
+                yield from within(begin, name + ".")
+
+    if text[root] == "{":
+        yield from within(root, "")

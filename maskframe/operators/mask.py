@@ -18,7 +18,7 @@ from maskframe.functions.text import nfc, python_str, quoted
 from maskframe.functions.unique import unique_suffix
 from maskframe.operators import actions as act
 from maskframe.operators.jsonpaths import JsonPlan
-from maskframe.operators.ner import SpanFinder, default_finder, join_segments, segments_of
+from maskframe.operators.ner import SpanFinder, installed_finder, join_segments, segments_of
 from maskframe.spec import TableSpec
 
 PostProcess = Mapping[str, Callable[[Column], Column]]
@@ -103,12 +103,18 @@ def mask_table(
     coerce: bool = True,
     post_process: PostProcess | None = None,
     finder: SpanFinder | None = None,
+    where: str | Column | None = None,
 ) -> DataFrame:
     """Mask the configured columns and pass the others through; schema order is kept.
 
+    ``where`` keeps only the rows that satisfy it before masking, so it reaches the scan,
+    partition pruning included; a filter on the result stays above the Unicode normalisation.
+
     ``table`` supplies the seed path prefix and, given as a TableSpec, which columns are
     unique. Works on batch and streaming inputs alike: there is no shuffle and no state.
     """
+    if where is not None:
+        df = df.where(where)
     return plan_mask(
         df, rules, ctx, table=table, unique=unique, coerce=coerce,
         post_process=post_process, finder=finder,
@@ -186,7 +192,7 @@ def _stage(
     json_plans: dict[str, JsonPlan] = {}
     for cell in cells:
         if isinstance(cell.action, act.NerMask):
-            spans = segments_of(cell.guarded_source, cell.action.entities, finder or default_finder)
+            spans = segments_of(cell.guarded_source, cell.action.entities, finder or installed_finder())
             texts.append(spans.alias(cell.temp("parts")))
         elif isinstance(cell.action, act.JsonMask):
             plan = JsonPlan(
@@ -231,7 +237,7 @@ def _expression(
         return base64url(digest) if action.encoding == "base64url" else digest
     if isinstance(action, act.RegexMask):
         return regex_replace(
-            cell.guarded_source, action.pattern, action.replace, action.flags, cell.path
+            cell.guarded_source, action.pattern, action.replace, action.flags, cell.path, action.max_chars
         )
     if isinstance(action, act.NerMask):
         return join_segments(F.col(cell.temp("parts")), ctx, cell.path)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from importlib.util import find_spec
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskframe.context import MaskContext
+from maskframe.context import MaskContext, MaskError
 from maskframe.functions.providers import get_provider
 from maskframe.functions.seeds import Seed, seed_hex
 
@@ -23,14 +24,11 @@ ENTITY_PROVIDERS = {"PERSON": "full_name", "ORG": "company", "GPE": "city", "LOC
 _SEGMENTS = "array<struct<before:string,label:string,entity:string>>"
 
 
-def default_finder() -> Callable[[list[str]], Iterable[list[Span]]]:
-    """spaCy's small English model, or no spans at all where it is not installed."""
-    try:
-        import spacy
+def model_finder() -> Callable[[list[str]], Iterable[list[Span]]]:
+    """spaCy's small English model; a worker that lacks it fails rather than let names through."""
+    import spacy
 
-        model = spacy.load("en_core_web_sm")
-    except (ImportError, OSError):
-        return lambda texts: ([] for _ in texts)
+    model = spacy.load("en_core_web_sm")
 
     def find(texts: list[str]) -> Iterable[list[Span]]:
         for doc in model.pipe(texts, batch_size=64):
@@ -39,6 +37,13 @@ def default_finder() -> Callable[[list[str]], Iterable[list[Span]]]:
     return find
 
 
+def installed_finder() -> SpanFinder:
+    """:func:`model_finder` where the model is installed; an error while the plan is built elsewhere."""
+    if find_spec("spacy") is None or find_spec("en_core_web_sm") is None:
+        raise MaskError("entity masking needs a span finder, or spaCy with its model en_core_web_sm")
+    return model_finder
+
+
 def phrase_finder(phrases: dict[str, str]) -> SpanFinder:
     """A finder for known phrases (text to label): leftmost match, longest phrase first."""
 

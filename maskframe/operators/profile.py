@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,9 +12,6 @@ from maskframe.functions.checks import passes_luhn
 from maskframe.functions.text import quoted
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
-# Below this share of distinct values the estimate alone proves that a column repeats values:
-# at 5 % standard error it would take an error of ten standard deviations to be wrong.
-_SURELY_REPEATED = 0.5
 
 
 def base_type(dtype: T.DataType) -> str:
@@ -44,7 +41,7 @@ def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataF
     """One row per column: rows, nulls, distinct, avg width in bytes, longest text, type.
 
     A single aggregation over one scan. The default distinct count is a mergeable sketch;
-    ``exact_distinct`` also shuffles the distinct values of every column.
+    ``exact_distinct`` counts digests of the values in a second pass (:func:`value_counts`).
     """
     fields = df.schema.fields
     aggs = [F.expr("count(1) AS n_rows")]
@@ -53,10 +50,10 @@ def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataF
         nested = isinstance(f.dataType, _NESTED)
         text = f"to_json({c})" if nested else f"CAST({c} AS STRING)"
         value = text if nested else c
-        distinct = f"count(DISTINCT {value})" if exact_distinct else f"approx_count_distinct({value})"
+        distinct = "0" if exact_distinct else f"approx_count_distinct({value})"
         aggs += [
             F.expr(f"count_if({c} IS NULL) AS c{i}_nulls"),
-            F.expr(f"{distinct} AS c{i}_n_distinct"),
+            F.expr(f"max({distinct}) AS c{i}_n_distinct" if exact_distinct else f"{distinct} AS c{i}_n_distinct"),
             F.expr(f"avg(octet_length({text})) AS c{i}_avg_width"),
             F.expr(f"max(char_length({text})) AS c{i}_max_length"),
         ]
@@ -73,9 +70,38 @@ def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataF
             "avg_width": "double", "max_length": "bigint",
         },
     )
+    if exact_distinct:
+        names = F.array(*[F.lit(f.name) for f in fields])
+        counted = value_counts(df, df.columns).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        counted = counted.select(F.get(names, F.col("i")).alias("counted_name"), "n")
+        columns = stats.columns
+        stats = stats.join(counted, F.col("column_name") == F.col("counted_name"), "left").withColumn(
+            "n_distinct", F.coalesce("n", F.lit(0).cast("long"))
+        ).select(*columns)
     return stats.select(F.lit(table).alias("table_id"), "*")
 
 
+def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(i, digest, n_rows)``: how often each non-null value of the i-th named column occurs.
+
+    One narrow pass turns every cell into a number and a 128-bit digest, so that whole texts
+    never travel; equal cells are added up before the shuffle.
+    """
+    def digest(name: str) -> Column:
+        kind, c = df.schema[name].dataType, quoted(name)
+        if isinstance(kind, _NESTED):
+            c = F.to_json(c)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = (c + F.lit(0.0)).cast("string")  # the two zeros are one value
+        elif not isinstance(kind, (T.StringType, T.BinaryType)):
+            c = c.cast("string")
+        return F.unhex(F.md5(c))
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), digest(n).alias("digest")) for i, n in enumerate(names)])
+    each = df.select(F.explode(cells).alias("cell")).select("cell.i", "cell.digest").where("digest IS NOT NULL")
+    return each.groupBy("i", "digest").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def profile_tables(tables: dict[str, DataFrame], *, exact_distinct: bool = False) -> DataFrame:
     out = None
     for name, df in tables.items():
@@ -117,34 +143,14 @@ def value_evidence(df: DataFrame, table: str) -> DataFrame:
 
 
 def unique_columns(df: DataFrame, table: str, names: list[str] | None = None) -> DataFrame:
-    """For each column, whether its non-null values are all different.
-
-    A cheap sketch pass first discards columns that repeat values beyond doubt, so only the
-    few remaining ones pay for an exact distinct count.
-    """
+    """For each column, whether its non-null values are all different, by :func:`value_counts`."""
     nested = {f.name for f in df.schema.fields if isinstance(f.dataType, _NESTED)}
     names = [n for n in (names or df.columns) if n not in nested]
-    screen = df.agg(
-        *[F.count(quoted(n)).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(quoted(n)).alias(f"d{i}") for i, n in enumerate(names)],
-    ).first()
-    open_names = [
-        n for i, n in enumerate(names)
-        if screen[f"n{i}"] and screen[f"d{i}"] >= _SURELY_REPEATED * screen[f"n{i}"]
-    ]
-    exact = [
-        (F.count(quoted(n)) == F.count_distinct(quoted(n))).alias(f"u{i}")
-        for i, n in enumerate(names)
-        if n in open_names
-    ]
-    row = df.agg(*exact) if exact else df.sparkSession.range(1)
-    flags = [
-        F.col(f"u{i}") if n in open_names else F.lit(screen[f"n{i}"] == 0)
-        for i, n in enumerate(names)
-    ]
-    row = row.select(*[c.alias(f"c{i}_is_unique") for i, c in enumerate(flags)])
-    stats = unpivot_stats(row, names, {"is_unique": "boolean"})
-    return stats.select(F.lit(table).alias("table_id"), "*")
+    most = value_counts(df, names).groupBy("i").agg(F.max("n_rows").alias("most"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "at int, column_name string")
+    return listed.join(most, F.col("at") == F.col("i"), "left").select(
+        F.lit(table).alias("table_id"), "column_name", (F.coalesce("most", F.lit(0)) <= 1).alias("is_unique")
+    )
 
 
 def not_null_conflicts(df: DataFrame, table: str, not_null: Iterable[str]) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.context import MaskContext, MaskError
+from maskframe.operators import actions as act
 from maskframe.operators import audit
 from maskframe.operators.detect import (
-    detect_pii, detection_summary, effective_rules, uncovered_columns,
+    detect_pii, detection_summary, effective_rules, settled, uncovered_columns,
 )
 from maskframe.operators.mask import MaskPlan, null_rule_conflicts, plan_tables
 from maskframe.operators.ner import SpanFinder
@@ -26,9 +27,6 @@ from maskframe.sources.read import apply_strategy
 from maskframe.sources.write import write_table
 from maskframe.spec import TableSpec
 
-# Independent tables are written side by side; Spark shares the executors between the jobs.
-CONCURRENT_TABLES = 4
-
 
 @dataclass(frozen=True)
 class Inspection:
@@ -51,10 +49,10 @@ def dry_run(
     tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], config: RunConfig
 ) -> Inspection:
     """Detection without masking."""
-    findings = detect_pii(
+    findings = settled(detect_pii(
         tables, config.rules, specs=specs, strategies=config.strategies,
         auto_detect=config.auto_detect,
-    )
+    ))
     return Inspection(findings, detection_summary(findings), uncovered_columns(findings))
 
 
@@ -83,8 +81,13 @@ def prepare(
     *,
     roots: Mapping[str, str] | None = None,
     finder: SpanFinder | None = None,
+    existing: Mapping[str, DataFrame] | None = None,
 ) -> tuple[dict[str, MaskPlan], dict[str, dict]]:
-    """Subset, repair and plan the mask: (mask plan per table, effective rules)."""
+    """Subset, repair and plan the mask: (mask plan per table, effective rules).
+
+    Rows whose key ``existing`` holds already are left out before masking, where no rule
+    changes the key.
+    """
     preflight(specs, tables, config)
     rules = {t: dict(r) for t, r in config.rules.items()}
     if config.auto_detect:
@@ -103,10 +106,20 @@ def prepare(
             for fk in spec.fks if fk.parent in tables
         }
         rows[name] = null_orphan_fks(rows[name], held, spec)
+    for name, held in (existing or {}).items():
+        if name in rows and _key_is_plain(specs.get(name), rules.get(name, {})):
+            rows[name] = remaining(rows[name], held, specs[name].pk)
     plans = plan_tables(rows, rules, ctx, specs, fk_paths=config.fk_paths, finder=finder)
     return plans, rules
 
 
+def _key_is_plain(spec: TableSpec | None, rules: Mapping[str, act.Action]) -> bool:
+    """Whether the table has a primary key that masking leaves as it is."""
+    if spec is None or not spec.pk:
+        return False
+    return all(c not in rules or isinstance(rules[c], act.Passthrough) for c in spec.pk)
+
+
 def run(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
@@ -119,31 +132,43 @@ def run(
     finder: SpanFinder | None = None,
     resume: bool = False,
     run_id: str | None = None,
+    concurrent_tables: int = 4,
 ) -> RunResult:
     """Mask every table and write it below ``out``; audit rows go to ``out/_audit``.
 
     Audit counts are collected while the rows are written. ``resume`` adds to tables that
-    already hold some rows only the rows still missing.
+    already hold some rows only the rows still missing; it refuses tables that were written
+    with another salt or other rules, which ``out/_rules`` tells. Independent tables are
+    written side by side, ``concurrent_tables`` at a time.
     """
     run_id = run_id or uuid.uuid4().hex
-    plans, rules = prepare(tables, specs, config, ctx, roots=roots, finder=finder)
+    existing = {}
+    if resume:
+        found = {name: _existing(spark, f"{out}/{name}") for name in tables}
+        existing = {n: df for n, df in found.items() if df is not None and specs.get(n, TableSpec(n)).pk}
+    plans, rules = prepare(tables, specs, config, ctx, roots=roots, finder=finder, existing=existing)
     paths = {name: f"{out}/{name}" for name in plans}
+    marks = {n: (ctx.salt_fingerprint, audit.rules_hash({n: rules.get(n, {})})) for n in plans}
+    for name in sorted(existing):
+        if name in plans:
+            _refuse_other_rules(spark, f"{out}/_rules/{name}", name, marks[name])
 
     def write(name: str) -> DataFrame | None:
         spec, plan = specs.get(name, TableSpec(name)), plans[name]
-        existing = _existing(spark, paths[name]) if resume else None
-        if existing is not None and spec.pk:
-            remaining(plan.project(), existing, spec.pk).write.mode("append").parquet(paths[name])
+        masked, observation = audit.observed_mask(plan, f"audit-{run_id}-{name}") if config.audit_log else (plan.project(), None)
+        if name in existing:
+            if not _key_is_plain(spec, rules.get(name, {})):
+                masked = remaining(masked, existing[name], spec.pk)
+            masked.write.mode("append").parquet(paths[name])
+        else:
+            write_table(masked, paths[name], policy="drop_create" if resume else config.on_existing_data)
+            mark = spark.createDataFrame([marks[name]], "salt_fingerprint string, rules_hash string")
+            mark.coalesce(1).write.mode("overwrite").parquet(f"{out}/_rules/{name}")
+        if observation is None:
             return None
-        policy = "drop_create" if resume else config.on_existing_data
-        if not config.audit_log:
-            write_table(plan.project(), paths[name], policy=policy)
-            return None
-        masked, observation = audit.observed_mask(plan, f"audit-{run_id}-{name}")
-        write_table(masked, paths[name], policy=policy)
         return audit.observed_events(spark, plan, observation, table=name, run_id=run_id)
 
-    with ThreadPoolExecutor(CONCURRENT_TABLES) as pool:
+    with ThreadPoolExecutor(concurrent_tables) as pool:
         events = [e for e in pool.map(write, sorted(plans)) if e is not None]
     audit_path = None
     if events:
@@ -154,10 +179,19 @@ def run(
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was written to ``path``, None if there is no such path; other troubles are errors."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _refuse_other_rules(spark: SparkSession, path: str, name: str, mark: tuple[str, str]) -> None:
+    earlier = _existing(spark, path)
+    if earlier is None or [tuple(r) for r in earlier.collect()] != [mark]:
+        raise MaskError(f"{name}: the rows already there were not written with this salt and these rules")
 
 
 def verify_run(
@@ -168,8 +202,11 @@ def verify_run(
     config: RunConfig,
     *,
     sample: int | None = 1_000,
+    roots: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Compare a finished run with its source."""
+    """Compare a finished run with its source, or with the subset that ``roots`` give."""
+    if roots:
+        source = subset(source, specs, roots)
     target = {n: spark.read.schema(source[n].schema).parquet(p) for n, p in result.paths.items()}
     return verify(
         {n: source[n] for n in target}, target, specs, result.rules,

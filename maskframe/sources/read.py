@@ -85,22 +85,31 @@ def read_files(
     schema: str | T.StructType | None = None,
     header: bool = True,
     rename: Mapping[str, str] | None = None,
+    multi_line: bool = False,
+    bad_rows: str | None = None,
 ) -> DataFrame:
     """CSV, JSON lines or Parquet input with optional column renaming.
 
     CSV columns stay text unless a schema is given, and JSON lines need one: inferring types
-    would read the whole input once more.
+    would read the whole input once more. A row that does not fit ends the job. With
+    ``bad_rows``, which needs a schema, it is kept instead, its text in the column of that
+    name, which is null for good rows. ``multi_line`` reads CSV cells with line breaks, or one
+    JSON document per file; such files are not split.
     """
     if fmt not in FILE_FORMATS:
         raise MaskError(f"unknown file format: {fmt!r}; expected one of {FILE_FORMATS}")
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    if fmt == "csv":
-        df = reader.csv(path, header=header, multiLine=False, escape='"')
-    elif fmt == "jsonl":
-        if schema is None:
-            raise MaskError("jsonl input needs a schema")
-        df = reader.json(path)
+    if fmt == "parquet":
+        df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     else:
-        df = reader.parquet(path)
+        if schema is None and (fmt == "jsonl" or bad_rows):
+            raise MaskError("jsonl input needs a schema" if fmt == "jsonl" else "bad_rows needs a schema")
+        options = {"mode": "FAILFAST", "multiLine": multi_line}
+        if bad_rows:
+            options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad_rows}
+            fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+            schema = T.StructType([*fields.fields, T.StructField(bad_rows, T.StringType())])
+        reader = spark.read.options(**options)
+        reader = reader if schema is None else reader.schema(schema)
+        df = reader.csv(path, header=header, escape='"') if fmt == "csv" else reader.json(path)
     names = rename or {}
     return df.select(*[quoted(c).alias(names.get(c, c)) for c in df.columns])

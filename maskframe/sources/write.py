@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -64,18 +64,28 @@ def copy_passthrough(spark: SparkSession, source: str, target: str, *, policy: s
 
 
 def write_files(
-    df: DataFrame, path: str, fmt: str, *, key: Sequence[str] = (), policy: str = "fail"
+    df: DataFrame,
+    path: str,
+    fmt: str,
+    *,
+    key: Sequence[str] = (),
+    policy: str = "fail",
+    mask: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Export masked rows with names and types kept.
 
     With ``key`` the files are range-partitioned and sorted by it: a global order without
     passing everything through one task. A hash of the row breaks ties, so that the rows of
-    one very frequent key can still be divided between several files.
+    one very frequent key can still be divided between several files. Finding the ranges reads
+    the rows once more; ``mask`` is applied after that, so masking runs only once. The order
+    is then that of the keys before masking.
     """
     ordered = df
     if key:
         cols = [quoted(c) for c in key]
         ordered = df.repartitionByRange(*cols, row_hash(df)).sortWithinPartitions(*cols)
+    if mask is not None:
+        ordered = mask(ordered)
     write_table(ordered, path, policy=policy, fmt=fmt)
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from maskframe.context import MaskContext
+from maskframe.context import MaskContext, MaskError
 from maskframe.functions.text import quoted
 from maskframe.operators import actions as act
 from maskframe.operators.mask import mask_table
 from maskframe.operators.ner import SpanFinder
+from maskframe.session import path_exists
 from maskframe.spec import TableSpec
 
 
@@ -56,8 +57,12 @@ def foreach_batch_sink(
 
     Rows go to ``path/rows/batch_id=N`` and the batch's (rows, last cursor) to
     ``path/progress/batch_id=N``. Both folders are replaced when a batch is replayed after a
-    failure, so nothing is lost or doubled.
+    failure, so nothing is lost or doubled. Without its checkpoint a stream may be cut into
+    other batches, so a new checkpoint over rows that are there already is refused.
     """
+    spark = masked.sparkSession
+    if path_exists(spark, f"{path}/rows") and not path_exists(spark, checkpoint):
+        raise MaskError(f"{path} holds rows of another checkpoint; clear it or go on with that one")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows_path = f"{path}/rows/batch_id={batch_id}"

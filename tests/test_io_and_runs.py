@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from maskframe import Fake, Hash, MaskError, Null, TableSpec, mask_table
+from maskframe import Fake, Hash, MaskContext, MaskError, Null, TableSpec, mask_table
 from maskframe.operators.verify import diff_runs, is_ok
 from maskframe.plans import RunConfig, dry_run, report_lines, run, verify_run
 from maskframe.sources import (
@@ -118,8 +118,13 @@ def test_batch_sink_replays_without_loss_or_doubles(spark, ctx, tmp_path):
         foreach_batch_sink(masked, out, check, table="public.records", run_id="r", cursor="id").awaitTermination()
 
     start(str(tmp_path / "check"))
-    # Losing the checkpoint replays every batch id; the folders are replaced, not added to.
-    start(str(tmp_path / "check2"))
+    # A lost checkpoint could cut other batches and leave old ones behind: it is refused.
+    with pytest.raises(MaskError):
+        start(str(tmp_path / "check2"))
+    # A batch that was not committed is replayed; its folders are replaced, not added to.
+    for name in ("3", ".3.crc"):
+        (tmp_path / "check" / "commits" / name).unlink()
+    start(str(tmp_path / "check"))
     assert spark.read.parquet(f"{out}/rows").count() == 100
     progress = spark.read.parquet(f"{out}/progress")
     assert progress.agg(F.sum("rows"), F.count("*")).first() == (100, 4)
@@ -166,9 +171,17 @@ def test_whole_run_verifies_and_resumes(spark, ctx, tmp_path):
     full = spark.read.parquet(result.paths["public.users"])
     half = str(tmp_path / "again")
     full.where("id < 10").write.parquet(f"{half}/public.users")
+    with pytest.raises(MaskError, match="public.users"):
+        run(spark, tables, specs, config, ctx, half, resume=True)
+    spark.read.parquet(str(tmp_path / "out" / "_rules" / "public.users")).write.parquet(f"{half}/_rules/public.users")
+    other = MaskContext(salt="b" * 64, key=ctx.key, as_of=ctx.as_of)
+    with pytest.raises(MaskError, match="public.users"):
+        run(spark, tables, specs, config, other, half, resume=True)
     resumed = run(spark, tables, specs, config, ctx, half, resume=True)
     assert diff_runs(spark.read.parquet(resumed.paths["public.users"]), full).isEmpty()
     assert diff_runs(spark.read.parquet(resumed.paths["public.logins"]), logins).isEmpty()
+    again = spark.read.parquet(resumed.audit_path)
+    assert again.where("table_id = 'public.users' AND column_name = 'email'").first().cells_changed == 10
 
 
 def test_run_with_roots(spark, ctx, tmp_path):
@@ -176,8 +189,9 @@ def test_run_with_roots(spark, ctx, tmp_path):
     result = run(spark, tables, specs, config, ctx, str(tmp_path / "out"), roots={"public.users": "id = 4"})
     counts = {n: spark.read.parquet(p).count() for n, p in result.paths.items()}
     assert counts == {"public.users": 1, "public.logins": 3}
-    report = verify_run(spark, tables, result, specs, config)
-    assert not is_ok(report)  # fewer rows than the source, by design
+    assert not is_ok(verify_run(spark, tables, result, specs, config))  # fewer rows than the whole source
+    report = verify_run(spark, tables, result, specs, config, roots={"public.users": "id = 4"})
+    assert is_ok(report)
 
 
 def test_preflight_refusals(spark, ctx, tmp_path):
