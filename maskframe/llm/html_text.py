@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,11 +48,13 @@ _ASIDE_WORDS = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Quantifiers keep what they took, so a tag that never ends is given up after one pass.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']+|"[^"]*"|'[^']*'|["'])*?)>"""
-    r"""|<[!?/][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>"""
+    r"""|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
+_TAG_START = re.compile(r"<[a-zA-Z/!?]")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 
 #: Blocks on either side whose ratios are averaged, with these weights from the middle out.
@@ -90,6 +93,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     blocks: list[Block] = []
     tags: list[str] = ["#page"]
     stack: list[tuple[str, int]] = [("#page", 0)]  # tag and number of every open block element
+    is_open: Counter[str] = Counter()  # how many of each tag are on the stack
     links = skipped = 0
     skip_depth: list[bool] = [False]
     pieces: list[str] = []
@@ -108,7 +112,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         nonlocal skipped
         flush()
         while len(stack) > at:
-            stack.pop()
+            is_open[stack.pop()[0]] -= 1
             skipped -= skip_depth.pop()
 
     def say(text: str) -> None:
@@ -119,15 +123,18 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                 linked += len(text)
 
     at, n = 0, len(page)
+    whole = page.rfind(">") + 1  # behind it no tag is complete
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, whole)
         if m is None:
             # A tag that the page ends in is no text.
-            cut = re.compile(r"<[a-zA-Z/!?]").search(page, at)
+            cut = _TAG_START.search(page, max(at, whole))
             say(page[at:cut.start()] if cut else page[at:])
             break
         say(page[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            break  # a comment that is not closed hides the rest
         if not m["name"]:
             continue
         name = m["name"].lower()
@@ -141,16 +148,14 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             if name in INLINE:
                 continue
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if is_open[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             else:
                 flush()
             links = 0
             continue
         flush()
-        if name in _PARAGRAPH_ENDS:
+        if name in _PARAGRAPH_ENDS and is_open["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -158,21 +163,22 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                 if stack[i][0] in ("td", "th", "button", "object"):
                     break
         if name in _SIBLINGS:
-            ends, scope = _SIBLINGS[name]
-            for i in range(len(stack) - 1, 0, -1):
+            ended, scope = _SIBLINGS[name]
+            for i in range(len(stack) - 1, 0, -1) if any(is_open[t] for t in ended) else ():
                 if stack[i][0] in scope:
                     break
-                if stack[i][0] in ends:
+                if stack[i][0] in ended:
                     close(i)
                     break
         if name in VOID:
             continue
         if name == "body":
             close(1)  # whatever the head left open
-        inside = any(t in _ARTICLE for t, _ in stack)
+        inside = any(is_open[t] for t in _ARTICLE)
         gone = name in SKIPPED or name == "header" and not inside or name not in ("html", "body", *_ARTICLE) and _is_aside(m["rest"])
         tags.append(name)
         stack.append((name, len(tags) - 1))
+        is_open[name] += 1
         skip_depth.append(gone)
         skipped += gone
         links = 0
