@@ -18,8 +18,8 @@ MIN_PERCENT = 80
 MAX_BROADCAST_WINDOWS = 500_000
 
 _MARK = "\x01"
-#: A capital letter inside a sentence starts a name; the mark goes before it.
-NAME_PATTERN = r"([\p{Ll}\p{Nd},;)] )(\p{Lu})"
+#: A capital before a small letter, inside a sentence, starts a name; the mark goes before it.
+NAME_PATTERN = r"([\p{Ll}\p{Nd},;)] )(\p{Lu}\p{Ll})"
 #: In lower-cased text: numbers, and words with or without the mark.
 TOKEN_PATTERN = r"[0-9]+(?:[.,][0-9]+)*|\x01?[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UNITS = (
