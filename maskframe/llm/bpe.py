@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -20,8 +22,8 @@ from maskframe.llm.registry import query
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States and words kept before a table is emptied, and the longest word kept.
-_MAX_STATES = 1 << 17
-_MAX_WORDS = 1 << 18
+_MAX_STATES = 1 << 18
+_MAX_WORDS = 1 << 17
 _MAX_WORD = 64
 #: Longer texts are split, encoded and decoded a block of words at a time.
 _LONG = 1 << 20
@@ -55,96 +57,112 @@ class Transducer:
     each two neighbours encode to themselves, because merges inside a pair do not depend on
     what stands outside it. That gives a non-deterministic transducer whose states are (last
     token, node of the vocabulary trie): on reaching a token that may follow the last one it
-    guesses that the token ends there. It is determinised while it reads. A deterministic
-    state is the set of states still possible, each with the tokens guessed but not written;
-    what all of them agree on is written. Only one guess at a place can be right, and a guess
-    not taken up again dies within the longest token, so the delay is bounded.
+    guesses that the token ends there. It is determinised while it reads: a deterministic state
+    is the row of states still possible, and a step writes the token that ends at the byte just
+    read, of which there is one at most. Guesses that are not taken up again die within the
+    longest token, so the tokens up to the last place that all live guesses go back to are
+    settled; they are written out from time to time and at the end of the word.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
+        self.sizes = {r: len(t) for t, r in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.depth = [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 after = self.child.get(node << 8 | b)
                 if after is None:
-                    after = self.child[node << 8 | b] = nodes
-                    nodes += 1
+                    after = self.child[node << 8 | b] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                 node = after
             self.token_at[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
-        self._clear()
+        self.fits: dict[int, bool] = {}
+        self._clear((0,))
 
-    def _clear(self) -> None:
-        start = ((-1, 0, ()),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.steps: list[dict[int, tuple[int, bytes]]] = [{}]
+    def _clear(self, *states: tuple[int, ...]) -> None:
+        """Forget all steps; a guess is the number (last token + 1) << 32 | node."""
+        self.states = list(states)
+        self.number = {state: i for i, state in enumerate(states)}
+        self.steps: dict[int, int] = {}  # state << 8 | byte: next state << 32 | written token + 1
 
     def _may_follow(self, last: int, token: int) -> bool:
         """Whether ``last`` and ``token`` stay apart and whole; ``last`` is -1 at the start."""
-        known = self.fits.get((last, token))
+        key = (last + 1) << 32 | token
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= _MAX_STATES:
+            if len(self.fits) >= 2 * _MAX_STATES:
                 self.fits.clear()
             before = self.tokens[last] if last >= 0 else b""
             wanted = [last, token] if last >= 0 else [token]
-            known = self.fits[last, token] = merge(before + self.tokens[token], self.ranks) == wanted
+            known = self.fits[key] = merge(before + self.tokens[token], self.ranks) == wanted
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        found = []
-        for last, node, pending in self.states[state]:
-            after = self.child.get(node << 8 | byte)
+    def _step(self, state: int, byte: int) -> int:
+        found, written = [], -1
+        for guess in self.states[state]:
+            after = self.child.get((guess & 0xFFFFFFFF) << 8 | byte)
             if after is None:
                 continue
-            found.append((last, after, pending))
+            found.append(guess >> 32 << 32 | after)
             token = self.token_at.get(after)
-            if token is not None and self._may_follow(last, token):
-                found.append((token, 0, (*pending, token)))
-        agreed = 0
-        shortest = min(len(p) for _, _, p in found)
-        while agreed < shortest and all(p[agreed] == found[0][2][agreed] for _, _, p in found):
-            agreed += 1
-        out = found[0][2][:agreed]
-        key = tuple(sorted((last, node, p[agreed:]) for last, node, p in found))
+            if token is not None and self._may_follow((guess >> 32) - 1, token):
+                written = token
+        if written >= 0:
+            found.append((written + 1) << 32)
+        key = tuple(found)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.steps.append({})
-        made = self.steps[state][byte] = (number, np.array(out, "<u4").tobytes())
+        made = self.steps[state << 8 | byte] = number << 32 | written + 1
         return made
 
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens up to place ``at``, last one first."""
+        out = []
+        while at:
+            out.append(ends[at])
+            at -= self.sizes[ends[at]]
+        return out
+
     def encode(self, word: bytes) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(word)
         if whole is not None:
             return whole.to_bytes(4, "little")
         if len(self.states) > _MAX_STATES:
-            self._clear()
-        state, out, steps = 0, [], self.steps
-        for i, byte in enumerate(word):
-            state, ids = steps[state].get(byte) or self._step(state, byte)
-            if ids:
-                out.append(ids)
-            if i & 0xFFFF == 0xFFFF and len(self.states) > _MAX_STATES:
-                key = self.states[state]
-                self._clear()
-                steps = self.steps
-                if key in self.number:
-                    state = 0
-                else:
-                    state = self.number[key] = 1
-                    self.states.append(key)
-                    steps.append({})
-        rest = next((p for _, node, p in self.states[state] if node == 0), ())
-        out.append(np.array(rest, "<u4").tobytes())
-        return b"".join(out)
+            self._clear((0,))
+        state, settled = 0, []
+        ends = [-1]  # the token that ends at each place since the last settled one
+        for byte in word:
+            step = self.steps.get(state << 8 | byte) or self._step(state, byte)
+            state = step >> 32
+            ends.append((step & 0xFFFFFFFF) - 1)
+            if len(ends) > _BLOCK:
+                state, ends = self._settle(state, ends, settled)
+        return b"".join(settled) + _packed(self._back(ends, len(ends) - 1))
+
+    def _settle(self, state: int, ends: list[int], settled: list[bytes]) -> tuple[int, list[int]]:
+        """Write the tokens that all live guesses have in common; keep the places after them."""
+        live, at = self.states[state], len(ends) - 1
+        rows = [self._back(ends, at - self.depth[guess & 0xFFFFFFFF])[::-1] for guess in live]
+        common = 0
+        while common < min(map(len, rows)) and len({row[common] for row in rows}) == 1:
+            common += 1
+        tokens = rows[0][:common]
+        settled.append(_packed(tokens[::-1]))
+        if len(self.states) > _MAX_STATES:
+            self._clear((0,), live)
+            state = 1
+        return state, [-1, *ends[1 + sum(self.sizes[t] for t in tokens):]]
+
+
+def _packed(backwards: list[int]) -> bytes:
+    return array("I", backwards[::-1]).tobytes()
 
 
 class _Words(dict):
@@ -173,11 +191,15 @@ class Codec:
     def __init__(self, content: bytes, pattern: str):
         ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
-        self.words = _Words(Transducer(ranks))
+        self._ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
+    @cached_property
+    def words(self) -> _Words:
+        return _Words(Transducer(self._ranks))
+
     def encode(self, text: str) -> bytes:
         get = self.words.__getitem__
         if len(text) <= _LONG:
