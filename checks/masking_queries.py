@@ -491,3 +491,12 @@ def hooks(spark: SparkSession, sf: str) -> DataFrame:
     return mask_table(
         df, {"c_name": Fake("city")}, CTX, table="customer", post_process={"c_name": F.upper, "c_mktsegment": F.lower}
     )
+
+
+@query(
+    "mask_where",
+    f"SELECT c_custkey, {g.fake('city', 'c_name', 'customer.c_name')} AS c_name, c_nationkey FROM customer WHERE c_nationkey = 3",
+)
+def mask_where(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return mask_table(df, {"c_name": Fake("city")}, CTX, table="customer", where="c_nationkey = 3")

@@ -10,6 +10,7 @@ from checks.inputs import PEOPLE_SQL, SPECS, people, star, table
 from checks.registry import query
 from maskframe import Fake, ForeignKey, Hash, Null, Static, TableSpec, mask_table, mask_tables
 from maskframe.operators import audit, detect, drift, profile, references, referential, verify
+from maskframe.operators.ner import phrase_finder
 
 CTX = g.CTX
 W = "WITH " + PEOPLE_SQL
@@ -230,7 +231,10 @@ def uncovered_columns(spark: SparkSession, sf: str) -> DataFrame:
         {g.fake('uuid', "'k'", 'app.customers.session_token')} AS session_token FROM people""",
 )
 def auto_mask(spark: SparkSession, sf: str) -> DataFrame:
-    masked = detect.auto_mask(_detection_inputs(spark, sf), CTX, _DETECTION_RULES, specs=_DETECTION_SPECS)
+    masked = detect.auto_mask(
+        _detection_inputs(spark, sf), CTX, _DETECTION_RULES, specs=_DETECTION_SPECS,
+        finder=phrase_finder({"Ada Lovelace": "PERSON"}),
+    )
     return masked["app.customers"]
 
 
@@ -752,3 +756,39 @@ _GUARDS = {
 )
 def conditional_skips(spark: SparkSession, sf: str) -> DataFrame:
     return audit.conditional_skips(table(spark, sf, "orders"), _GUARDS, table="orders", run_id="run-1")
+
+
+# Text keys against whole numbers, one key with a third of the rows ------------------------------
+
+_TEXT_ORDERS = """text_orders AS (SELECT o_orderkey, o_totalprice,
+    CASE WHEN o_orderkey % 3 = 0 THEN '0000000001' ELSE lpad(o_custkey::VARCHAR, 10, '0') END AS cust FROM orders)"""
+_TEXT_SPECS = {
+    "customer": TableSpec("customer", pk=("c_custkey",)),
+    "orders": TableSpec("orders", pk=("o_orderkey",), fks=(ForeignKey(("cust",), "customer", ("c_custkey",)),)),
+}
+
+
+def _text_orders(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.when(F.col("o_orderkey") % 3 == 0, "0000000001").otherwise(F.lpad(F.col("o_custkey").cast("string"), 10, "0"))
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", key.alias("cust"))
+
+
+@query(
+    "subset_text_keys",
+    f"""WITH {_TEXT_ORDERS} SELECT o_orderkey, o_totalprice, cust FROM text_orders
+        WHERE cust::BIGINT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1)""",
+)
+def subset_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {"customer": table(spark, sf, "customer"), "orders": _text_orders(spark, sf)}
+    return referential.subset(tables, _TEXT_SPECS, {"customer": "c_custkey % 2 = 1"})["orders"]
+
+
+@query(
+    "null_orphan_fks_text_keys",
+    f"""WITH {_TEXT_ORDERS} SELECT o_orderkey, o_totalprice,
+        CASE WHEN cust::BIGINT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) THEN cust END AS cust
+        FROM text_orders""",
+)
+def null_orphan_fks_text_keys(spark: SparkSession, sf: str) -> DataFrame:
+    parents = {"customer": table(spark, sf, "customer").where("c_custkey % 7 <> 0")}
+    return referential.null_orphan_fks(_text_orders(spark, sf), parents, _TEXT_SPECS["orders"])

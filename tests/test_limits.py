@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from maskframe import MaskError
+from maskframe import Fake, MaskError, TableSpec, mask_table
 from maskframe.functions.seeds import Seed
 from maskframe.functions.unique import unique_numeric, unique_suffix
 from maskframe.operators import profile, verify
@@ -77,3 +77,19 @@ def test_bad_rows_end_the_job_or_are_kept(spark, tmp_path):
     assert csv[2].v == "two\nlines" and csv[1].v == "y"
     with pytest.raises(MaskError):
         read_files(spark, str(tmp_path / "a.csv"), "csv", bad_rows="bad")
+
+
+def test_where_reaches_the_scan(spark, ctx, tmp_path):
+    spark.range(100).selectExpr("id", "id % 5 AS part", "concat('n', id) AS name").write.partitionBy("part").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    masked = mask_table(df, {"name": Fake("city")}, ctx, table="t", where="part = 3 AND id > 50")
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,50)" in plan and "PartitionFilters: [isnotnull(part" in plan
+    assert masked.count() == 10
+
+
+def test_rows_are_compared_by_a_key_of_several_columns(spark):
+    df = spark.range(20).selectExpr("id % 4 AS a", "id AS b", "concat('v', id) AS v")
+    spec = TableSpec("t", pk=("a", "b"))
+    out = verify.row_checks(df, df.withColumn("v", F.lit("x")), spec, ["v"], sample=None).collect()
+    assert {r.target: r.verdict for r in out} == {"t.a": "pass", "t.b": "pass", "t.v": "pass"}
