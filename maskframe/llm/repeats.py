@@ -24,6 +24,8 @@ STEP = 128
 MAX_GROUP = 2_000
 #: Bytes of text worked on at a time.
 _CHUNK = 1 << 20
+#: Bits of the filter that tells texts that have to be looked at from others: 1 MB.
+_FILTER_BITS = 1 << 23
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -301,12 +303,28 @@ def _compare_starts(contexts: DataFrame, length: int, earlier_only: bool) -> Dat
     return met.select("id", "hash", "first", F.lit(1).alias("n"))
 
 
+def _divided(base: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``base`` whose hash may be among those of ``keys``, and rows whose hash is not.
+
+    A bitmap of fixed size, broadcast, spares the texts that nothing is known of a shuffle.
+    It grows fuller with the keys, never larger, and a full one only saves less.
+    """
+    slot = f"pmod(hash, {_FILTER_BITS}L)"
+    marks = keys.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, cast({slot} % 64 AS int)) AS bit")
+    marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = base.join(F.broadcast(marks), F.expr(f"shiftright({slot}, 6)") == F.col("word"), "left")
+    may_be = F.expr(f"coalesce(shiftright(bits, cast({slot} % 64 AS int)) & 1L, 0L) = 1L")
+    columns = base.columns
+    return marked.where(may_be).select(*columns), marked.where(~may_be).select(*columns)
+
+
 def _contexts(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``(id, hash, core, first, body)``: the bytes of the wanted blocks, cut from their texts."""
     per_text = wanted.groupBy(F.col("id").alias("of"), F.col("hash").alias("of_hash")).agg(
         F.collect_set(F.struct("core", "first", "n")).alias("wanted")
     )
-    rows = base.join(per_text, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
+    likely, _ = _divided(base, wanted)
+    rows = likely.join(per_text, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")))
     cut = F.transform(
         "wanted",
         lambda w: F.struct(
@@ -314,9 +332,8 @@ def _contexts(base: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             F.substring(F.col("text"), w["first"] + 1, w["n"] + (length - 1)).alias("body"),
         ),
     )
-    # Rows that are equal in id and text have the same contexts; one of them is enough.
-    found = rows.select("id", "hash", F.inline(cut))
-    return found.dropDuplicates(["id", "hash", "core", "first"])
+    # Rows that are equal in id and text hand in the same places, which count once.
+    return rows.select("id", "hash", F.inline(cut))
 
 
 def repeated_spans(
@@ -364,12 +381,15 @@ def repeated_spans(
     )
     if not many.isEmpty():
         spans = spans.unionByName(_compare_starts(_contexts(base, many, length), length, keep_first))
+    spans = written(spans, "repeat-spans")
     per_text = spans.groupBy(F.col("id").alias("of"), F.col("hash").alias("of_hash")).agg(
         F.collect_list(F.struct("first", "n")).alias("spans")
     )
-    return base.join(
+    likely, others = _divided(base, spans)
+    with_spans = likely.join(
         per_text, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("of_hash")), "left"
     ).select("id", "hash", "text", "spans")
+    return with_spans.unionByName(others.withColumn("spans", F.lit(None).cast("array<struct<first:int,n:int>>")))
 
 
 def _merged(first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
