@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import sqlgen as g
 from checks.inputs import PEOPLE_SQL, SPECS, people, star, table
 from checks.registry import query
-from maskframe import Fake, Hash, Null, TableSpec, mask_table
+from maskframe import Fake, Hash, Null, mask_table
 from maskframe.operators.verify import diff_runs
 from maskframe.plans import RunConfig, run, verify_run
 from maskframe.session import run_dir
