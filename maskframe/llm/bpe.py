@@ -23,7 +23,7 @@ from maskframe.llm.registry import query
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: States and words kept before a table is emptied, and the longest word kept.
 _MAX_STATES = 1 << 18
-_MAX_WORDS = 1 << 17
+_MAX_WORDS = 1 << 16
 _MAX_WORD = 64
 #: Longer texts are split, encoded and decoded a block of words at a time.
 _LONG = 1 << 20
@@ -94,7 +94,7 @@ class Transducer:
         key = (last + 1) << 32 | token
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= 2 * _MAX_STATES:
+            if len(self.fits) >= _MAX_STATES:
                 self.fits.clear()
             before = self.tokens[last] if last >= 0 else b""
             wanted = [last, token] if last >= 0 else [token]
@@ -312,13 +312,34 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     return _mapped(encoded, ids, out, T.StringType(), run)
 
 
+def round_trip(
+    docs: DataFrame, path: str, text: str = "text", pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
+    """``docs`` less ``text``, with ``ids`` as of :func:`encode` and ``decoded`` as of :func:`decode`.
+
+    One pass does both, so that a task keeps the tables of one worker in memory, not of two.
+    """
+    content = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
+    kept = [f for f in docs.schema.fields if f.name != text]
+    ids, decoded = fresh([f.name for f in kept], "ids", "decoded")
+    schema = T.StructType([*kept, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+
+    def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(content.value, pattern)
+        for batch in rows:
+            encoded = [own.encode(x.as_py() or "") for x in batch.column(text)]
+            made = [pa.array(encoded, pa.binary()), pa.array(map(own.decode, encoded), pa.string())]
+            columns = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, *made], names=schema.names)
+
+    return docs.mapInArrow(batches, schema)
+
+
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document the number and digest of its ids and the digest of what they decode to."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    (ids,) = fresh(["doc_id", "text"], "ids")
-    encoded = encode(docs.select("doc_id", "text"), path, out=ids).select("doc_id", ids)
-    return decode(encoded, path, ids=ids, out="decoded").select(
-        "doc_id", F.floor(F.length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(F.col(ids), 256).alias("ids_sha256"),
+    tripped = round_trip(docs.select("doc_id", "text"), path or public_tokenizers.path(VOCABULARY))
+    return tripped.select(
+        "doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
