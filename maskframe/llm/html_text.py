@@ -94,6 +94,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     tags: list[str] = ["#page"]
     stack: list[tuple[str, int]] = [("#page", 0)]  # tag and number of every open block element
     is_open: Counter[str] = Counter()  # how many of each tag are on the stack
+    nested: Counter[int] = Counter()  # elements of the same tag open inside an inline element on the stack
     links = skipped = 0
     skip_depth: list[bool] = [False]
     pieces: list[str] = []
@@ -143,10 +144,31 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                 say(" ")
             elif name == "a":
                 links = 0 if m["close"] else 1
-            elif not m["close"] and not m["rest"].endswith("/") and _is_aside(m["rest"]):
-                name = "aside"  # an inline element that is shown apart from the text
-            if name in INLINE:
-                continue
+            elif name in VOID:
+                pass
+            elif m["close"]:
+                # Its own end tag ends an inline element on the stack, but not from inside a later block.
+                for i in range(len(stack) - 1, 0, -1) if is_open[name] else ():
+                    if stack[i][0] not in INLINE:
+                        break
+                    if stack[i][0] == name:
+                        if nested[stack[i][1]]:
+                            nested[stack[i][1]] -= 1
+                        else:
+                            close(i)
+                        break
+            elif not m["rest"].endswith("/"):
+                if is_open[name]:
+                    nested[next(e for t, e in reversed(stack) if t == name)] += 1
+                elif _is_aside(m["rest"]):
+                    # Shown apart from the text: it is skipped until its own end or that of the block around it.
+                    flush()
+                    tags.append(name)
+                    stack.append((name, len(tags) - 1))
+                    is_open[name] += 1
+                    skip_depth.append(True)
+                    skipped += 1
+            continue
         if m["close"]:
             if is_open[name]:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))

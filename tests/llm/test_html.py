@@ -40,6 +40,20 @@ def test_odd_pages(page, text):
         assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>x<span class='ad'>buy</span>y</p></article>", "x y"),
+    ("<p>x<span class=\"ad\">buy</span>y</p>", "x y"),
+    ("<article><span class='share'>Share</span><p>a</p><p>b</p></article>", "a b"),
+    ("<article><p>a <small class='ad'>no <small>no</small> no</small> b</p></article>", "a b"),
+    ("<article><p>a <span class='ad'>no</p><p>b</p></article>", "a b"),
+    ("<article><p>a <span class='ad'>no<p>b</span></article>", "a b"),
+    ("<article>a<span class='ad'><div>no</span>no</div>no</span> b</article>", "a b"),
+    ("<article><p>a <i style='display:none'>no</i><em>b</em></p><img class='ad' src=x><p>c</article>", "a b c"),
+])
+def test_skipped_inline_elements_end(page, text):
+    assert main_text(page) == text
+
+
 def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>paragraph {i} of many, with some words.</p>" for i in range(20_000)) + "</article>"
     assert main_text(page).count("paragraph") == 20_000
