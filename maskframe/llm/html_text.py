@@ -39,15 +39,23 @@ _SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 _ARTICLE = frozenset({"article", "main"})
-#: Class, id and role words that name what is no part of an article.
+#: Classes, ids and roles that name what is no part of an article.
 _ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar "
     "navigation navigations breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal overlay newsletter "
     "subscribe signup comment comments respond reply replies disqus share sharing social related recommended "
     "footer masthead header widget toolbar pagination pager login search contentinfo complementary".split()
 )
+#: Words that say of a compound name only where or how its element stands: cookie-bar, left-sidebar, share_buttons.
+_PLACE_WORDS = frozenset(
+    "area bar block bottom box button buttons container form global icon icons inner item items left link links list "
+    "outer panel post posts primary right secondary section site top wrap wrapper".split()
+)
+#: Words that also head an article; they count alone, outside of articles, and on no heading.
+_HEAD_WORDS = frozenset({"header", "masthead", "banner"})
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z]+")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Quantifiers keep what they took, so a tag that never ends is given up after one pass.
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>"""
@@ -73,19 +81,73 @@ class Block:
     linked: int
 
 
-def _is_aside(attributes: str) -> bool:
+def _names_aside(token: str) -> bool:
+    """Whether a whole class, id or role names an aside: by a listed word, or by nothing but listed and place words."""
+    if token in _ASIDE_WORDS:
+        return True
+    words = [w for w in _WORD.findall(token) if w not in _PLACE_WORDS]
+    return bool(words) and all(w in _ASIDE_WORDS and w not in _HEAD_WORDS for w in words)
+
+
+def _skips(attributes: str, heads: bool = False) -> tuple[bool, bool]:
+    """Whether the attributes hide an element, and whether they name it an aside.
+
+    With ``heads`` the element may head an article, so names of headers count for nothing.
+    """
+    named = False
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, named
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif any(w in _ASIDE_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+                return True, named
+        elif name in ("class", "id", "role") and not named:
+            named = any(_names_aside(t) for t in value.split() if not (heads and t in _HEAD_WORDS))
+    return False, named
+
+
+def _less_asides(blocks: list[Block], tags: list[str], asides: set[int]) -> list[Block]:
+    """The blocks outside of the elements that are asides by name.
+
+    A name alone drops no element that holds main, the only articles or (unless it is inline)
+    most of the unlinked text of a page; where an article stands elsewhere, long text under
+    such a name stays out. If nothing else is left, the aside with the most text of its own stays.
+    """
+    if not asides:
+        return blocks
+    mass: Counter[int] = Counter()
+    own: Counter[int] = Counter()  # less what stands in further asides inside
+    parents: dict[int, list[int]] = {}
+    holds: dict[int, set[str]] = {}
+    outside = False  # an article outside of all asides
+    for b in blocks:
+        above: list[int] = []
+        for e in b.elements:
+            if e in asides:
+                above.append(e)
+            elif tags[e] in _ARTICLE:
+                for a in above:
+                    holds.setdefault(a, set()).add(tags[e])
+                outside |= tags[e] == "article" and asides.isdisjoint(b.elements)
+        for e in [0, *above]:
+            mass[e] += len(b.text) - b.linked
+        if above:
+            own[above[-1]] += len(b.text) - b.linked
+            parents[above[-1]] = above
+
+    def stays(e: int) -> bool:
+        held = holds.get(e, ())
+        return "main" in held or not outside and ("article" in held or tags[e] not in INLINE and 2 * mass[e] > mass[0])
+
+    gone = {e for e in asides if not stays(e)}
+    rest = [b for b in blocks if gone.isdisjoint(b.elements)]
+    if own and not rest:
+        gone.difference_update(parents[max(own, key=lambda e: (own[e], -e))])
+        rest = [b for b in blocks if gone.isdisjoint(b.elements)]
+    return rest
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
@@ -94,6 +156,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     tags: list[str] = ["#page"]
     stack: list[tuple[str, int]] = [("#page", 0)]  # tag and number of every open block element
     is_open: Counter[str] = Counter()  # how many of each tag are on the stack
+    asides: set[int] = set()  # elements that are asides by name
     nested: Counter[int] = Counter()  # elements of the same tag open inside an inline element on the stack
     links = skipped = 0
     skip_depth: list[bool] = [False]
@@ -160,14 +223,16 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             elif not m["rest"].endswith("/"):
                 if is_open[name]:
                     nested[next(e for t, e in reversed(stack) if t == name)] += 1
-                elif _is_aside(m["rest"]):
+                elif any(skips := _skips(m["rest"])):
                     # Shown apart from the text: it is skipped until its own end or that of the block around it.
                     flush()
                     tags.append(name)
                     stack.append((name, len(tags) - 1))
                     is_open[name] += 1
-                    skip_depth.append(True)
-                    skipped += 1
+                    skip_depth.append(skips[0])
+                    skipped += skips[0]
+                    if not skips[0]:
+                        asides.add(len(tags) - 1)
             continue
         if m["close"]:
             if is_open[name]:
@@ -197,8 +262,12 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if name == "body":
             close(1)  # whatever the head left open
         inside = any(is_open[t] for t in _ARTICLE)
-        gone = name in SKIPPED or name == "header" and not inside or name not in ("html", "body", *_ARTICLE) and _is_aside(m["rest"])
+        gone = name in SKIPPED or name == "header" and not inside
         tags.append(name)
+        if not gone and name not in ("html", "body", *_ARTICLE):
+            gone, named = _skips(m["rest"], inside or name in _HEADINGS)
+            if named and not gone:
+                asides.add(len(tags) - 1)
         stack.append((name, len(tags) - 1))
         is_open[name] += 1
         skip_depth.append(gone)
@@ -212,7 +281,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                 at = end.end()
                 close(len(stack) - 1)
     flush()
-    return blocks, tags
+    return _less_asides(blocks, tags, asides), tags
 
 
 def path_ratios(blocks: list[Block]) -> np.ndarray:

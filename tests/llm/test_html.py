@@ -54,6 +54,37 @@ def test_skipped_inline_elements_end(page, text):
     assert main_text(page) == text
 
 
+BODY = "<h1 class='%s'>T</h1><p>First paragraph of the text.</p><p>Second paragraph of the text.</p>"
+BODY_TEXT = "T First paragraph of the text. Second paragraph of the text."
+
+
+@pytest.mark.parametrize("name", [
+    "content has-sidebar", "with-sidebar", "no-comments", "page-header", "post-header", "social-science", "alert-story",
+    "research", "sidebar", "comments", "widget",
+])
+def test_names_of_wrappers_and_headings_drop_nothing(name):
+    for wrap in ("<div class='%s'><article>%s</article></div>", "<div id='%s'>%s</div>", "<main><div class='%s'>%s</div></main>"):
+        assert main_text(AROUND % (wrap % (name, BODY % "title"))) == BODY_TEXT
+    for heading in ("page-header", "post-header", "header", "no-comments"):
+        assert main_text(f"<article>{BODY % heading}</article>") == main_text(f"<div>{BODY % heading}</div>") == BODY_TEXT
+
+
+@pytest.mark.parametrize("name", [
+    "ad", "sidebar", "left-sidebar", "cookie-bar", "share_buttons", "related-posts", "comments-area", "post comments",
+])
+def test_asides_by_name_are_left_out(name):
+    for wrap in ("<article>%s<div class='%s'><p>Not this one.</p></div></article>", "<div>%s<ul id='%s'><li>Not this one.</ul></div>"):
+        name = name.split()[-1] if "id=" in wrap else name
+        assert main_text(wrap % (BODY % "title", name)) == BODY_TEXT
+    # An article elsewhere leaves even the longest comments out.
+    long = "<article>%s</article><div class='comments'><article><p>%s</p></article></div>" % (BODY % "title", "no, " * 500)
+    assert main_text(long) == BODY_TEXT
+
+
+def test_only_whole_attributes_count():
+    assert main_text("<article><p title='hidden gems' data-class='ad'>a</p><p alt=\"id='ads'\">b</p></article>") == "a b"
+
+
 def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>paragraph {i} of many, with some words.</p>" for i in range(20_000)) + "</article>"
     assert main_text(page).count("paragraph") == 20_000
