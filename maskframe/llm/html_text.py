@@ -307,9 +307,11 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
 def main_text(page: str) -> str:
     """The article of a page; empty if there is none.
 
-    Blocks whose path reaches the threshold are content nodes. They elect the element that
-    holds the article: of the deepest article or main element, or else the deepest element,
-    that has most of their text. All blocks in it are the article, short ones included.
+    Blocks whose path reaches the threshold are content nodes. If article or main elements
+    hold some, the article is all that stands in these (in a main element only if it holds
+    content outside of its articles). Otherwise it is the content nodes, the blocks between
+    them, and the blocks in their lowest common element that are headings or not mere links;
+    all of the deepest element that has most of their text belongs to it, links included.
     """
     blocks, tags = parse(page)
     if not blocks:
@@ -319,18 +321,27 @@ def main_text(page: str) -> str:
     mass = np.array([len(b.text) - b.linked for b in blocks]) * content
     if not mass.any():
         mass = np.array([len(b.text) for b in blocks])
-    weight: dict[int, float] = {}
+    weight: Counter[int] = Counter()
+    own: set[int] = set()  # article and main elements with content of which they are the innermost
     for b, w in zip(blocks, mass.tolist(), strict=True):
-        for e in b.elements:
-            weight[e] = weight.get(e, 0) + w
-    articles = [e for e, w in weight.items() if tags[e] in _ARTICLE and w]
-    if articles:
-        chosen = max(articles, key=lambda e: (weight[e], e))
-    else:
-        chosen = max(e for e, w in weight.items() if 2 * w > weight[0])
-        while tags[chosen] in ("p", "li", "ul", "ol", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"):
-            chosen = next(b.elements[b.elements.index(chosen) - 1] for b in blocks if chosen in b.elements)
-    return " ".join(b.text for b in blocks if chosen in b.elements)
+        if w:
+            weight.update(dict.fromkeys(b.elements, w))
+            own.update([e for e in b.elements if tags[e] in _ARTICLE][-1:])
+    if own:
+        return " ".join(b.text for b in blocks if not own.isdisjoint(b.elements))
+    voted = np.flatnonzero(mass)
+    first, last = voted[0], voted[-1]
+    common = max(e for e, w in weight.items() if w == weight[0])
+    chosen = max(e for e, w in weight.items() if 2 * w > weight[0])
+    while tags[chosen] in ("p", "li", "ul", "ol", "blockquote", "pre", *_HEADINGS):
+        chosen = next(b.elements[b.elements.index(chosen) - 1] for b in blocks if chosen in b.elements)
+
+    def belongs(i: int, b: Block) -> bool:
+        if first <= i <= last or chosen in b.elements:
+            return True
+        return common in b.elements and (b.linked < len(b.text) or any(tags[e] in _HEADINGS for e in b.elements))
+
+    return " ".join(b.text for i, b in enumerate(blocks) if belongs(i, b))
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", out: str = "main_text") -> DataFrame:

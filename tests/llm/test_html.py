@@ -85,6 +85,24 @@ def test_only_whole_attributes_count():
     assert main_text("<article><p title='hidden gems' data-class='ad'>a</p><p alt=\"id='ads'\">b</p></article>") == "a b"
 
 
+LINE = "A sentence of the text, long enough to count."
+SIX, FOUR = f"<p>{LINE}</p>" * 6, f"<p>{LINE}</p>" * 4
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><div>{SIX}</div><div>{FOUR}</div></body>", " ".join([LINE] * 10)),
+    (f"<article>{SIX}</article><article>{FOUR}</article>", " ".join([LINE] * 10)),
+    (f"<main><article>{SIX}</article><p>{LINE}</p><article>{FOUR}</article></main>", " ".join([LINE] * 11)),
+    (f"<main><ul><li><a href=x>all</a></ul><article>{SIX}</article></main>", " ".join([LINE] * 6)),
+    (f"<div><h1>T</h1><p>lead</p><div class=body>{SIX}</div></div>", " ".join(["T lead", *[LINE] * 6])),
+    (f"<div><h1><a href=x>T</a></h1><p>lead</p><div class=body>{SIX}</div></div>", " ".join(["T lead", *[LINE] * 6])),
+    (f"<div>{SIX}</div><h2>T</h2><ul><li>a<li><a href=x>b</a></ul><div>{FOUR}</div>", " ".join([*[LINE] * 6, "T a b", *[LINE] * 4])),
+    (f"<div><ul><li><a href=x>Home</a><li><a href=y>All</a></ul><div>{SIX}</div><section>{FOUR}</section></div>", " ".join([LINE] * 10)),
+])
+def test_content_in_several_elements(page, text):
+    assert main_text(page) == text
+
+
 def test_long_pages_are_read_whole():
     page = "<article>" + "".join(f"<p>paragraph {i} of many, with some words.</p>" for i in range(20_000)) + "</article>"
     assert main_text(page).count("paragraph") == 20_000
