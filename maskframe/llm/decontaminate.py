@@ -97,6 +97,42 @@ def _covered(places: Column) -> Column:
     return let(F.array_sort(places), total)
 
 
+def _agreeing(hits: Column) -> Column:
+    """Places of the windows of one alignment whose values agree with those of the others.
+
+    An item value stands for the text value that most windows have for it, more than any
+    other; an unchanged value always agrees. A window with another value is left out.
+    """
+    pairs = F.array_distinct(F.flatten(F.transform(hits, lambda h: h["pairs"])))
+
+    def votes(p: Column) -> Column:
+        # Both views may have the same place.
+        return F.size(F.array_distinct(F.transform(
+            F.filter(hits, lambda h: F.array_contains(h["pairs"], p)), lambda h: h["place"]
+        )))
+
+    def fits(counted: Column) -> Column:
+        def leads(c: Column) -> Column:
+            rivals = F.filter(counted, lambda d: (d["pair"]["given"] == c["pair"]["given"]) & (d["pair"] != c["pair"]))
+            return F.forall(rivals, lambda d: d["votes"] < c["votes"])
+
+        kept = F.filter(counted, lambda c: (c["pair"]["given"] == c["pair"]["slots"]) | leads(c))
+        return F.transform(kept, lambda c: c["pair"])
+
+    def places(of: Column) -> Column:
+        return F.array_distinct(F.transform(of, lambda h: h["place"]))
+
+    def chosen(p: Column) -> Column:
+        counted = F.transform(p, lambda x: F.struct(x.alias("pair"), votes(x).alias("votes")))
+        agreeing = let(let(counted, fits), lambda good: places(
+            F.filter(hits, lambda h: F.forall(h["pairs"], lambda x: F.array_contains(good, x)))
+        ))
+        one_each = F.size(F.array_distinct(F.transform(p, lambda x: x["given"]))) == F.size(p)
+        return F.when(one_each, places(hits)).otherwise(agreeing)
+
+    return let(pairs, chosen)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -108,9 +144,10 @@ def contaminated(
 ) -> DataFrame:
     """``(id, hash, item, matched, words)``: which texts hold which benchmark items.
 
-    Windows of five words join on their template. Along one alignment of text and item the
-    placeholders must map one to one, the same value to the same value, or its windows do
-    not count. ``words`` is the number of the item's words under windows with at least three
+    Windows of five words join on their template. Along one alignment of text and item each
+    value of the item stands for one value of the text, the one that most windows have;
+    windows with another value do not count, unless it is the item's own. Two values of the
+    item may become the same one. ``words`` is the number of the item's words under windows with at least three
     words that are no placeholders, ``matched`` those of them that were found; a pair is
     returned from ``min_percent`` on. ``hash`` tells texts of equal ids apart.
 
@@ -132,15 +169,11 @@ def contaminated(
     ).select("id", "hash", F.inline_outer("windows"))  # unlike inline, not computed once more as a filter
     hits = windows.join(items, "key").select(
         "id", "hash", "item", "place", (F.col("pos") - F.col("place")).alias("shift"),
-        F.arrays_zip("given", "slots").alias("pairs"),
-    )
-    aligned = hits.groupBy("id", "hash", "item", "shift").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+        F.coalesce(F.arrays_zip("given", "slots"), F.array().cast("array<struct<given:string,slots:string>>")).alias("pairs"),
     )
-    n = F.size("pairs")
-    one_to_one = (F.size(F.array_distinct("pairs.given")) == n) & (F.size(F.array_distinct("pairs.slots")) == n)
+    aligned = hits.groupBy("id", "hash", "item", "shift").agg(F.collect_set(F.struct("place", "pairs")).alias("hits"))
     found = (
-        aligned.where(one_to_one).select("id", "hash", "item", F.explode("places").alias("place"))
+        aligned.select("id", "hash", "item", F.explode(_agreeing(F.col("hits"))).alias("place"))
         .groupBy("id", "hash", "item").agg(_covered(F.collect_set("place")).alias("matched"))
     )
     same = found["item"].eqNullSafe(sizes["item"])
@@ -161,7 +194,8 @@ def drop_contaminated(
 
 
 _UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
-#: Expects the documents in {docs}; gives c_found(doc_id, item_id, matched, words).
+#: Expects the documents in {docs}; gives c_found(doc_id, item_id, matched, words). Stricter than
+#: the operator: it leaves out all windows of an alignment that does not map one to one.
 FOUND_SQL = rf"""
 c_tokens AS (
   SELECT side, id, regexp_extract_all(lower(regexp_replace(translate(coalesce(text, ''), chr(1), ' '),

@@ -37,6 +37,17 @@ def test_other_names_and_numbers_are_found_if_they_fit(spark, benchmark):
     assert found(spark, benchmark, FILLER + torn) == set()
 
 
+def test_a_clash_costs_only_its_own_windows(spark, benchmark):
+    both = {(0, 1), (0, 2)}
+    # One number altered that also stands elsewhere.
+    assert found(spark, benchmark, FILLER + ITEM.replace("sells 12", "sells 13")) == both
+    assert found(spark, benchmark, FILLER + ITEM.replace("has 12", "has 13")) == both
+    # Two numbers that become the same one.
+    assert found(spark, benchmark, FILLER + ITEM.replace("30", "4").replace("12", "4")) == both
+    docs = spark.createDataFrame([(0, ITEM.replace("sells 12", "sells 13"))], "doc_id long, text string")
+    assert {(r.matched, r.words) for r in contaminated(docs, benchmark).collect()} == {(27, 28)}
+
+
 def test_part_of_an_item_is_not_enough(spark, benchmark):
     words = ITEM.split()
     assert found(spark, benchmark, FILLER + " ".join(words[:15])) == set()
