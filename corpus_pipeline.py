@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the boilerplate lines of their source."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, less the boilerplate lines of their source; copies count as one page."""
+    return drop_boilerplate(docs, copies_once=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,19 +26,25 @@ def _keys(text: Column) -> Column:
 
 
 def boilerplate(
-    docs: DataFrame, text: str, site: str, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES
+    docs: DataFrame, text: str, site: str, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``(site, line)`` of the lines above the share; ``line`` is :func:`line_key`.
 
-    Pages are rows. Each row's distinct lines are counted before the shuffle, so a hot site
-    or line travels as one row per task.
+    Pages are rows, or with ``copies_once`` the different texts of a site (by a 64-bit hash).
+    Each page's distinct lines are counted before the shuffle, so a hot site or line travels as
+    one row per task, and so does a text with many copies.
     """
-    pages = docs.select(quoted(site).alias("site"), _keys(text_of(text)).alias("keys"))
+    body = text_of(text)
+    pages = docs.select(quoted(site).alias("site"), F.xxhash64(body).alias("t"), _keys(body).alias("keys"))
+    if copies_once:
+        pages = pages.groupBy("site", "t").agg(F.first("keys").alias("keys"))
     often = (
         pages.select("site", F.explode("keys").alias("line"))
         .groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     )
-    totals = docs.groupBy(quoted(site).alias("of")).agg(F.count(F.lit(1)).alias("pages"))
+    rows = pages.select("site") if copies_once else docs.select(quoted(site).alias("site"))
+    totals = rows.groupBy(F.col("site").alias("of")).agg(F.count(F.lit(1)).alias("pages"))
     return often.join(totals, F.col("site").eqNullSafe(F.col("of"))).where(
         F.col("n") / F.col("pages") >= F.lit(float(max_share))
     ).select("site", "line", "n", "pages")
@@ -52,6 +58,7 @@ def drop_boilerplate(
     max_share: float = MAX_SHARE,
     min_pages: int = MIN_PAGES,
     count_as: str | None = None,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs`` without the lines that stand on too many pages of their site.
 
@@ -60,12 +67,13 @@ def drop_boilerplate(
     Lines are parted by line feeds and compared without outer white space; blank lines stay.
     Rows are never dropped: a text of nothing but boilerplate becomes empty. A null text stays
     null and counts as a page without lines; a null site is a site of its own; repeated rows
-    are pages each, and rows sharing a ``key`` are told apart by their text. An empty table
+    are pages each unless ``copies_once`` counts equal texts of a site as one page, so that
+    many copies of a page make no boilerplate of it; rows sharing a ``key`` are told apart by their text. An empty table
     gives an empty one. Other columns keep their names and values. ``count_as`` names a
     further column with the number of lines dropped from the row.
     """
     name_drop, name_kept = fresh([*docs.columns, "k", "s", "t"], "__drop", "__kept")
-    marked = boilerplate(docs, text, site, max_share, min_pages)
+    marked = boilerplate(docs, text, site, max_share, min_pages, copies_once)
     body = text_of(text)
     pages = docs.select(
         quoted(key).alias("k"), quoted(site).alias("s"), F.xxhash64(body).alias("t"), _keys(body).alias("keys")

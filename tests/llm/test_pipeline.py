@@ -94,6 +94,19 @@ def test_run_gives_the_last_stage(stages, spark, sf):
     assert sorted(corpus_pipeline.run(spark, sf).collect()) == sorted(stages[-1][2].collect())
 
 
+def test_a_large_group_of_copies_survives_once(spark, sf):
+    copy = "\n".join(f"Line {i} of the page that many rows repeat, told in words of its own." for i in range(6))
+    texts = [copy] * 20 + [f"Page {i} tells of {i * 7} things.\nIt ends with number {i * i}." for i in range(40)]
+    texts[20:30] = [t + "\nAll rights reserved" for t in texts[20:30]]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, sf).collect()}
+    assert len(out) == 60 and all(out[i] == copy for i in range(20))
+    assert not any("rights" in t for t in out.values()) and all(out.values())
+    kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.line_dedup(spark, docs, sf), sf).collect()
+    assert [r.doc_id for r in kept if r.text == copy] == [0]
+
+
 def test_stages_survive_odd_tables(spark, sf, edge_rows):
     docs = spark.createDataFrame(edge_rows, "doc_id long, text string, lang string, source string, n_chars long")
     for frame in (docs, docs.limit(0)):
