@@ -201,10 +201,13 @@ def verify_run(
     specs: Mapping[str, TableSpec],
     config: RunConfig,
     *,
-    sample: int | None = 1_000,
+    sample: int | None = None,
     roots: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Compare a finished run with its source, or with the subset that ``roots`` give."""
+    """Compare a finished run with its source, or with the subset that ``roots`` give.
+
+    Whole tables are compared unless ``sample`` asks for the first rows by key only.
+    """
     if roots:
         source = subset(source, specs, roots)
     target = {n: spark.read.schema(source[n].schema).parquet(p) for n, p in result.paths.items()}

@@ -204,3 +204,16 @@ def test_preflight_refusals(spark, ctx, tmp_path):
     for document in ({"tabels": {}}, {"tables": {"t": {"colums": {}}}}, {"on_existing_data": "append"}, {"tables": {"t": {"strategy": "x"}}}, {"tables": {"t": {"columns": {"c": {"action": "nope"}}}}}):
         with pytest.raises(MaskError):
             RunConfig.from_dict(document)
+
+
+def test_rows_behind_the_first_thousand_are_verified(spark, ctx, tmp_path):
+    source = spark.range(1_500).selectExpr("id", "concat('n', id) AS shelf", "concat('u', id, '@x.org') AS email")
+    specs = {"public.users": TableSpec("public.users", pk=("id",))}
+    config = RunConfig(rules={"public.users": {"email": Fake("email")}})
+    result = run(spark, {"public.users": source}, specs, config, ctx, str(tmp_path / "out"), run_id="r1")
+    assert is_ok(verify_run(spark, {"public.users": source}, result, specs, config))
+    moved = source.withColumn("shelf", F.expr("if(id = 1400, 'elsewhere', shelf)"))
+    report = verify_run(spark, {"public.users": moved}, result, specs, config)
+    assert [(r["check"], r.target) for r in report.where("verdict = 'fail'").collect()] == [
+        ("column.passthrough_drift", "public.users.shelf")
+    ]
