@@ -118,10 +118,11 @@ def heavy_keys(
     sketches = df.select(key_hash(df, cols, types).alias("h"), group.alias("g")).groupBy("g").agg(
         F.expr(f"approx_top_k_accumulate(h, {_SKETCH_ITEMS})").alias("s")
     )
-    row = sketches.agg(
+    # Grouped by a constant: an empty table has no sketches, which cannot be combined.
+    row = sketches.withColumn("all", F.lit(0)).groupBy("all").agg(
         F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {_SKETCH_ITEMS}), {_SKETCH_TOP})").alias("top")
     ).first()
-    heavy = [item for item in row["top"] or [] if item["count"] > rows_per_task]
+    heavy = [item for item in (row["top"] if row else None) or [] if item["count"] > rows_per_task]
     if not heavy:
         return NO_HEAVY_KEYS
     most = max(item["count"] for item in heavy)

@@ -9,6 +9,7 @@ from maskframe import Fake, MaskError, TableSpec, mask_table
 from maskframe.functions.seeds import Seed
 from maskframe.functions.unique import unique_numeric, unique_suffix
 from maskframe.operators import profile, verify
+from maskframe.operators.skew import key_join
 from maskframe.sources.read import read_files
 
 
@@ -93,3 +94,11 @@ def test_rows_are_compared_by_a_key_of_several_columns(spark):
     spec = TableSpec("t", pk=("a", "b"))
     out = verify.row_checks(df, df.withColumn("v", F.lit("x")), spec, ["v"], sample=None).collect()
     assert {r.target: r.verdict for r in out} == {"t.a": "pass", "t.b": "pass", "t.v": "pass"}
+
+
+def test_key_join_of_an_empty_table(spark):
+    """A table without rows has no heavy keys to look for."""
+    left = spark.createDataFrame([], "k long, v string")
+    right = spark.createDataFrame([(1, "x")], "k2 long, w string")
+    for how in ("inner", "left_outer", "left_semi", "left_anti"):
+        assert key_join(left, right, [("k", "k2")], how).count() == 0
