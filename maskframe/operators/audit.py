@@ -151,6 +151,11 @@ def rules_hash(rules: Mapping[str, act.Rules]) -> str:
     return hashlib.sha256(canonical.encode()).hexdigest()
 
 
+def row_widths(profiles: DataFrame) -> DataFrame:
+    """``(table_id, row_width)``: the summed average widths of each table's columns."""
+    return profiles.groupBy("table_id").agg(F.sum("avg_width").alias("row_width"))
+
+
 def run_summary(
     batches: DataFrame, profiles: DataFrame, ctx: MaskContext, rules: Mapping[str, act.Rules]
 ) -> DataFrame:
@@ -165,7 +170,7 @@ def run_summary(
         F.max_by("cursor", "batch_id").alias("last_cursor"),
         F.max_by("status", "batch_id").alias("status"),
     )
-    widths = profiles.groupBy("table_id").agg(F.sum("avg_width").alias("row_width"))
+    widths = row_widths(profiles)
     estimate = F.floor(F.coalesce(F.col("row_width"), F.lit(0.0)) * F.col("rows")).cast("long")
     return rolled.join(widths, "table_id", "left_outer").select(
         "run_id", "table_id", "batches", "rows", estimate.alias("bytes"), "last_cursor", "status",

@@ -40,10 +40,30 @@ def implied_fks(
     target really holds. Values are counted per key before any join, so a value repeated in
     a third of the rows travels as one row.
     """
-    suffixes, ignored = tuple(suffixes), frozenset(ignore)
-    targets = _targets(tables, specs, suffixes, infer_unique)
     spark = next(iter(tables.values())).sparkSession
     out = spark.createDataFrame([], _IMPLIED_SCHEMA)
+    for table_id, name, target, suffix in implied_candidates(
+        tables, specs, suffixes=suffixes, ignore=ignore, infer_unique=infer_unique
+    ):
+        out = out.unionByName(_containment(tables[table_id], table_id, name, tables[target], target, suffix))
+    return out
+
+
+def implied_candidates(
+    tables: Mapping[str, DataFrame],
+    specs: Mapping[str, TableSpec],
+    *,
+    suffixes: Iterable[str] = REFERENCE_SUFFIXES,
+    ignore: Iterable[str] = (),
+    infer_unique: bool = False,
+) -> list[tuple[str, str, str, str]]:
+    """``(table, column, target table, target column)`` by names and declared keys alone.
+
+    Reads no data unless ``infer_unique`` asks which target columns are unique.
+    """
+    suffixes, ignored = tuple(suffixes), frozenset(ignore)
+    targets = _targets(tables, specs, suffixes, infer_unique)
+    out = []
     for table_id, df in tables.items():
         declared = {c for fk in specs.get(table_id, TableSpec(table_id)).fks for c in fk.cols}
         for name in df.columns:
@@ -51,10 +71,9 @@ def implied_fks(
             if suffix is None or name in declared or f"{table_id}.{name}" in ignored:
                 continue
             candidates = [t for t in targets.get(suffix, []) if (t, suffix) != (table_id, name)]
-            if not candidates:
-                continue
-            target = min(candidates, key=lambda t: _distance(table_id, name, suffix, t))
-            out = out.unionByName(_containment(df, table_id, name, tables[target], target, suffix))
+            if candidates:
+                target = min(candidates, key=lambda t: _distance(table_id, name, suffix, t))
+                out.append((table_id, name, target, suffix))
     return out
 
 
@@ -113,9 +132,26 @@ def polymorphic_refs(
     tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec] | None = None
 ) -> DataFrame:
     """``<p>_type`` text with ``<p>_id`` pairs outside any declared key, sized per type value."""
-    specs = specs or {}
     spark = next(iter(tables.values())).sparkSession
     out = spark.createDataFrame([], _POLYMORPHIC_SCHEMA)
+    for table_id, type_col, id_col in polymorphic_pairs(tables, specs or {}):
+        sizes = tables[table_id].groupBy(quoted(type_col).alias("type_value")).agg(
+            F.count("*").alias("n_rows"), F.count_distinct(quoted(id_col)).alias("n_ids")
+        )
+        out = out.unionByName(
+            sizes.select(
+                F.lit(table_id).alias("table_id"), F.lit(type_col).alias("type_column"), F.lit(id_col).alias("id_column"),
+                "type_value", "n_rows", "n_ids",
+            )
+        )
+    return out
+
+
+def polymorphic_pairs(
+    tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]
+) -> list[tuple[str, str, str]]:
+    """``(table, type column, id column)`` by names, types and declared keys alone; reads no data."""
+    out = []
     for table_id, df in tables.items():
         types = {f.name: f.dataType for f in df.schema.fields}
         declared = {c for fk in specs.get(table_id, TableSpec(table_id)).fks for c in fk.cols}
@@ -125,19 +161,6 @@ def polymorphic_refs(
                 continue
             if type_col in declared or id_col in declared:
                 continue
-            if not isinstance(types[type_col], T.StringType) or not isinstance(
-                types[id_col], (T.IntegralType, T.StringType)
-            ):
-                continue
-            sizes = df.groupBy(quoted(type_col).alias("type_value")).agg(
-                F.count("*").alias("n_rows"), F.count_distinct(quoted(id_col)).alias("n_ids")
-            )
-            out = out.unionByName(
-                sizes.select(
-                    F.lit(table_id).alias("table_id"),
-                    F.lit(type_col).alias("type_column"),
-                    F.lit(id_col).alias("id_column"),
-                    "type_value", "n_rows", "n_ids",
-                )
-            )
+            if isinstance(types[type_col], T.StringType) and isinstance(types[id_col], (T.IntegralType, T.StringType)):
+                out.append((table_id, type_col, id_col))
     return out

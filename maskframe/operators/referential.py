@@ -213,9 +213,14 @@ def _reach(
 
 
 def null_orphan_fks(
-    child: DataFrame, parents: Mapping[str, DataFrame], spec: TableSpec
+    child: DataFrame, parents: Mapping[str, DataFrame], spec: TableSpec, *, measured: DataFrame | None = None
 ) -> DataFrame:
-    """Set the columns of each foreign key to NULL in rows whose parent is missing."""
+    """Set the columns of each foreign key to NULL in rows whose parent is missing.
+
+    Heavy keys are looked for in ``measured``: the stored table that ``child`` is taken from, where
+    ``child`` itself would have to be worked out for it.
+    """
+    measured = child if measured is None else measured
     out = child
     for i, fk in enumerate(spec.fks):
         if fk.parent not in parents:
@@ -224,7 +229,7 @@ def null_orphan_fks(
         keys = distinct_keys(parents[fk.parent], fk.parent_cols, names).withColumn("__held", F.lit(True))
         joined = key_join(
             out, keys, list(zip(fk.cols, names, strict=True)), "left_outer",
-            heavy=heavy_keys(child, fk.cols, key_types(child, fk.cols, keys, names)),
+            heavy=heavy_keys(measured, fk.cols, key_types(child, fk.cols, keys, names)),
         )
         out = joined.select(
             *[
