@@ -218,9 +218,30 @@ def mask_json_open_schema(spark: SparkSession, sf: str) -> DataFrame:
     return _json_fields(mask_table(_event_documents(spark, sf), rules, CTX, table="events"))
 
 
+_TEXT_PARTS = (
+    '{"contact":{"email":"u', '@x.test","tags":["a",{"email":null}]}, "n" : "abc","debug":[1,{"k":2}],"big":12345678901234567890.10,"v":', '.50,"none":null,"token":"t', '"}'
+)
+
+
+@query(
+    "mask_json_document_text",
+    f"""SELECT event_id, '{{"contact":{{"email":"' || {g.fake('email', "'u' || user_id::VARCHAR || '@x.test'", 'events.payload#json:contact.email')}
+        || '","tags":["a",{{"email":null}}]}}, "n" : "abc","big":12345678901234567890.10,"v":' || event_id::VARCHAR || '.50,"none":null,"token":"'
+        || {g.salted_hash("'t' || event_id::VARCHAR")} || '"}}' AS payload FROM events""",
+)
+def mask_json_document_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of the documents: what no path names stays, though the schema knows less and says otherwise."""
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    a, b, c, d = (F.lit(p) for p in _TEXT_PARTS)
+    documents = table(spark, sf, "events").select("event_id", F.concat(a, user, b, event, c, event, d).alias("payload"))
+    paths = {"contact.email": Fake("email"), "token": Hash(), "debug": "remove"}
+    schema = "contact struct<email:string>, n int, token string, debug string, d double"
+    return mask_table(documents, {"payload": JsonMask(paths, schema=schema)}, CTX, table="events")
+
+
 @query(
     "mask_json_props",
-    f"""SELECT event_id, ('{{"k":"' || {g.salted_hash("json_extract_string(props, '$.k')")} || '"}}') AS props FROM events""",
+    f"""SELECT event_id, ('{{"k": "' || {g.salted_hash("json_extract_string(props, '$.k')")} || '"}}') AS props FROM events""",
 )
 def mask_json_props(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "events").select("event_id", "props")

@@ -86,12 +86,14 @@ class NerMask(Action):
 class JsonMask(Action):
     """Rules by JSON path (``contact.email``): Fake, Hash, Null or the string ``"remove"``.
 
-    With ``schema`` (a DDL string naming every field) the document is rebuilt in the JVM;
-    without it unknown fields are kept and only the patching step runs in Python.
+    Paths name members of objects by their exact spelling, or by any with ``ignore_case``; lists are
+    not entered. ``schema`` (a DDL string) declares fields that documents may have: a path that is not
+    among them is refused when the plan is built. Fields it does not name are kept like all others.
     """
 
     paths: Mapping[str, Action | str] = field(hash=False)
     schema: str | None = None
+    ignore_case: bool = False
 
 
 _KIND_BY_CLASS: dict[type, str] = {

@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Iterator, Mapping
-from json.decoder import scanstring
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.context import MaskContext, MaskError
+from maskframe.functions import jsontext
 from maskframe.functions.providers import check_providers, get_provider
 from maskframe.functions.seeds import Seed, seed_hex
 from maskframe.functions.text import nfc
 from maskframe.operators import actions as act
 
 REMOVE = "remove"
-_SCAN = json.JSONDecoder().scan_once
 
 
 class JsonPlan:
     """Helper columns and the final expression for one JSON column.
 
-    The document is parsed once and replacement values are built in the JVM. With a declared
-    schema the document is rebuilt there too; otherwise only the named fields are parsed and
-    a small pandas UDF puts their new values in their places, so that all else stays as written.
+    The document is taken apart once, as text, into the members of its object; the values found
+    there are the ones that are replaced there. Whatever no path names stays to the letter, numbers and
+    blanks included. A member that a path names is masked wherever its key occurs in the object,
+    with what the last occurrence says; a field that is null or missing stays so.
+
+    A document that is no JSON, or is nested too deeply to be taken apart, ends the job with an error
+    that names only the column. So does a list of objects, which paths cannot address.
     """
 
     def __init__(
@@ -40,186 +41,138 @@ class JsonPlan:
     ) -> None:
         self._source, self._action, self._ctx, self._path = source, action, ctx, path
         self._define = define
-        schema = action.schema if action.schema is not None else _schema_of(action.paths)
-        self.parsed = F.from_json(source, schema).alias(f"{helper}_doc")
+        self._tree = _tree_of(action.paths)
+        if action.schema is not None:
+            _check_schema(action, path)
+        self.parsed = jsontext.members(source).alias(f"{helper}_doc")
         self._doc = F.col(f"{helper}_doc")
+        self.found: list[Column] = []
         self.texts: list[Column] = []
         self.seeds: list[Column] = []
         self._values: dict[str, Column | None] = {}
-        self._removed: list[str] = []
         for i, (json_path, rule) in enumerate(action.paths.items()):
             self._add(json_path, rule, f"{helper}_json{i}")
 
+    def _is(self, member: Column, name: str) -> Column:
+        return jsontext.key_is(member, name, self._action.ignore_case)
+
+    def _found(self, members: Column, parts: list[str]) -> Column:
+        """The value that a path leads to, as written."""
+        hits = F.filter(members, lambda m: self._is(m, parts[0]))
+        value = jsontext.let(hits, lambda h: F.get(F.get(h, F.size(h) - 1), F.lit(3)))
+        if len(parts) == 1:
+            return value
+        return jsontext.let(value, lambda v: self._found(jsontext.members(v), parts[1:]))
+
     def _add(self, json_path: str, rule: act.Action | str, helper: str) -> None:
         if rule == REMOVE:
-            self._removed.append(json_path)
             return
         if isinstance(rule, act.Null):
             self._values[json_path] = None
             return
         full_path = f"{self._path}#json:{json_path}"
-        found = self._doc
-        for part in json_path.split("."):
-            found = found[part]
-        found = found.cast("string")
+        found = jsontext.let(
+            self._found(self._doc, json_path.split(".")),
+            lambda v: F.when(F.startswith(v, F.lit('"')), jsontext.string_value(v)).when(v != "null", v),
+        )
+        self.found.append(found.alias(f"{helper}_found"))
         text = F.col(f"{helper}_text")
         if isinstance(rule, act.Hash):
-            self.texts.append(found.alias(f"{helper}_text"))
+            self.texts.append(F.col(f"{helper}_found").alias(f"{helper}_text"))
             salted = F.concat(F.lit(bytearray(self._ctx.salt.encode())), text.cast("binary"))
-            self._values[json_path] = F.when(text == "", text).otherwise(F.sha2(salted, 256))
+            self._values[json_path] = self._literal(text, F.sha2(salted, 256))
             return
         if not isinstance(rule, act.Fake):
             raise MaskError(f"{full_path}: json_mask supports fake, hash, null and remove")
         check_providers([(full_path, rule.provider)])
-        self.texts.append(F.nullif(nfc(found, self._ctx.nfc), F.lit("")).alias(f"{helper}_text"))
+        # Empty text stays empty, and a missing field stays missing.
+        self.texts.append(nfc(F.col(f"{helper}_found"), self._ctx.nfc).alias(f"{helper}_text"))
         seed_path = rule.seed_alias or full_path
-        self.seeds.append(seed_hex(text, self._ctx.salt, seed_path).alias(f"{helper}_seed"))
+        self.seeds.append(seed_hex(F.nullif(text, F.lit("")), self._ctx.salt, seed_path).alias(f"{helper}_seed"))
         seed = Seed(F.col(f"{helper}_seed"))
-        fake = get_provider(rule.provider).fn(seed, text, dict(rule.params), self._ctx)
-        # Empty text stays empty, and a missing field stays missing.
-        value = F.coalesce(F.when(text.isNotNull(), fake), found)
-        if get_provider(rule.provider).strict:
-            value = F.coalesce(fake, found)
-        self._values[json_path] = self._define(value)
+        fake = get_provider(rule.provider).fn(seed, F.nullif(text, F.lit("")), dict(rule.params), self._ctx)
+        self._values[json_path] = self._literal(text, fake)
+
+    def _literal(self, text: Column, masked: Column) -> Column:
+        """The new value as it is written into the document, worked out before the members are walked through."""
+        return self._define(F.when(text == "", '""').when(text.isNotNull(), jsontext.string_literal(masked)))
 
     def result(self) -> Column:
-        if self._action.schema is not None:
-            return self._rebuilt()
-        masked = [F.lit(None).cast("string") if v is None else v for v in self._values.values()]
-        nulled = [n for n, v in self._values.items() if v is None]
-        patch = _patcher(list(self._values), nulled, self._removed, self._path)
-        return patch(self._source, F.array(*masked) if masked else F.array().cast("array<string>"))
-
-    def _rebuilt(self) -> Column:
-        """Replace or drop fields of the parsed document; masked fields become strings.
-
-        Null fields are kept as null, and so are fields of the schema that the document lacks.
-        A document that is no JSON ends the job with an error that names only the column.
-        """
-        doc = self._doc
-        for json_path, value in self._values.items():
-            doc = doc.withField(json_path, F.lit(None).cast("string") if value is None else value)
-        for json_path in self._removed:
-            doc = doc.dropFields(json_path)
+        doc, source = self._doc, self._source
         broken = F.raise_error(F.lit(f"{self._path}: not a JSON document")).cast("string")
+        lists = F.raise_error(F.lit(f"{self._path}: a list of objects, which no path can name")).cast("string")
+        is_object, is_list = jsontext.starts_with(source, "{"), jsontext.starts_with(source, "[")
         return (
-            F.when(self._source == "", self._source)
-            .when(F.try_parse_json(self._source).isNull() & self._source.isNotNull(), broken)
-            .when(self._source.isNotNull(), F.to_json(doc, {"ignoreNullFields": "false"}))
+            F.when(source.isNull() | (source == ""), source)
+            .when(F.try_parse_json(source).isNull(), broken)
+            .when(is_object, F.when(jsontext.is_whole(doc), self._patched(doc, self._tree, "")).otherwise(broken))
+            .when(~jsontext.is_single_value(source), broken)
+            .when(is_list & jsontext.holds_object(source), lists)
+            .otherwise(source)
         )
 
-
-def _schema_of(paths: Iterable[str]) -> T.StructType:
-    """A schema holding just the named paths, every leaf as text."""
+    def _patched(self, parts: Column, tree: dict, prefix: str) -> Column:
+        """The text of an object with the members that ``tree`` names masked, nulled or left out."""
+        gone = [name for name, below in tree.items() if below == REMOVE]
+
+        def kept(m: Column) -> Column:
+            out = F.lit(True)
+            for name in gone:
+                out = out & ~self._is(m, name)
+            return out
+
+        def written(m: Column) -> Column:
+            value = F.when(F.size(m) == 1, F.lit(""))  # what follows the members
+            for name, below in tree.items():
+                if below != REMOVE:
+                    value = value.when(self._is(m, name), self._value(F.get(m, F.lit(3)), below, prefix + name))
+            return F.concat(F.coalesce(F.concat(F.get(m, F.lit(1)), F.get(m, F.lit(2))), F.lit("")), value.otherwise(F.get(m, F.lit(3))))
+
+        staying = F.filter(parts, kept) if gone else parts
+        # The object's own brace stays in front, whichever member comes first now.
+        first = F.when(F.size(parts) > 1, F.get(F.get(parts, F.lit(0)), F.lit(0))).otherwise("")
+        texts = F.transform(
+            staying, lambda m, i: F.concat(F.when((i == 0) & (F.size(m) > 1), F.lit("")).otherwise(F.get(m, F.lit(0))), written(m))
+        )
+        return F.concat(first, F.array_join(texts, ""))
+
+    def _value(self, value: Column, below: dict | None, path: str) -> Column:
+        if isinstance(below, dict):
+            broken = F.raise_error(F.lit(f"{self._path}: not a JSON document")).cast("string")
+            inner = jsontext.let(
+                jsontext.members(value),
+                lambda p: F.when(jsontext.is_whole(p), self._patched(p, below, path + ".")).otherwise(broken),
+            )
+            return F.when(F.startswith(value, F.lit("{")), inner).otherwise(value)
+        masked = self._values[path]
+        if masked is None:
+            return F.lit("null")
+        unmasked = F.raise_error(F.lit(f"{self._path}: a value of {path} cannot be masked")).cast("string")
+        return F.when(value == "null", value).otherwise(F.coalesce(masked, unmasked))
+
+
+def _tree_of(paths: Mapping[str, act.Action | str]) -> dict:
+    """Paths as nested names; leaves say ``remove`` or nothing."""
     tree: dict = {}
     for path in paths:
         *parents, leaf = path.split(".")
         node = tree
         for part in parents:
             node = node.setdefault(part, {})
-            if node is None:
+            if not isinstance(node, dict):
                 raise MaskError(f"json path {path!r} lies below another configured path")
-        if node.get(leaf, None) is not None:
+        if leaf in node:
             raise MaskError(f"json path {path!r} lies above another configured path")
-        node[leaf] = None
-
-    def build(node: dict | None) -> T.DataType:
-        if node is None:
-            return T.StringType()
-        return T.StructType([T.StructField(name, build(child)) for name, child in node.items()])
-
-    return build(tree)
-
-
-def _patcher(names: list[str], nulled: list[str], removed: list[str], path: str):
-    @F.pandas_udf(T.StringType())
-    def patch(documents: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for text, masked in zip(documents, values, strict=True):
-            if text is None or text == "":
-                out.append(text)
-                continue
-            new = dict(zip(names, masked, strict=True))
-            try:
-                edits = sorted(_edits(text, new, frozenset(nulled), frozenset(removed)))
-            except (ValueError, IndexError):
-                raise MaskError(f"{path}: not a JSON document") from None
-            parts, at = [], 0
-            for start, end, piece in edits:
-                parts += [text[at:start], piece]
-                at = end
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out, dtype=object)
-
-    return patch
-
-
-_BLANK = " \t\n\r"
-
-
-def _after_blanks(text: str, at: int) -> int:
-    while text[at] in _BLANK:
-        at += 1
-    return at
-
-
-def _end(text: str, at: int) -> int:
-    """Where the value that begins at ``at`` ends."""
-    try:
-        return _SCAN(text, at)[1]
-    except StopIteration:
-        raise ValueError from None
-
-
-def _members(text: str, at: int) -> Iterator[tuple[str, int, int, int]]:
-    """Key, start of the key, and start and end of the value, of an object that begins at ``at``."""
-    at = _after_blanks(text, at + 1)
-    while text[at] != "}":
-        start = at
-        key, at = scanstring(text, at + 1)
-        at = _after_blanks(text, at)
-        if text[at] != ":":
-            raise ValueError
-        begin = _after_blanks(text, at + 1)
-        at = _end(text, begin)
-        yield key, start, begin, at
-        at = _after_blanks(text, at)
-        if text[at] == ",":
-            at = _after_blanks(text, at + 1)
-            if text[at] != '"':
-                raise ValueError
-        elif text[at] != "}":
-            raise ValueError
-
-
-def _edits(
-    text: str, new: Mapping[str, str | None], nulled: frozenset[str], removed: frozenset[str]
-) -> Iterator[tuple[int, int, str]]:
-    """Stretches of the document to replace; all else stays to the letter, numbers included."""
-    root = _after_blanks(text, 0)
-    if text[_end(text, root):].strip(_BLANK):
-        raise ValueError
-    paths = {*new, *removed}
-
-    def within(at: int, prefix: str) -> Iterator[tuple[int, int, str]]:
-        members = list(_members(text, at))
-        gone = [prefix + key in removed for key, *_ in members]
-        for i, (key, start, begin, end) in enumerate(members):
-            name = prefix + key
-            if gone[i]:
-                # With the comma behind it, or the one before where nothing that stays follows.
-                if not all(gone[i:]):
-                    yield start, members[i + 1][1], ""
-                else:
-                    kept = [m for m, g in zip(members[:i], gone, strict=False) if not g]
-                    if i == 0 or not gone[i - 1]:
-                        yield (kept[-1][3] if kept else start), members[-1][3], ""
-            elif name in new:
-                value = new[name]
-                if text[begin:end] != "null" and (name in nulled or value is not None):
-                    yield begin, end, "null" if name in nulled else json.dumps(value, ensure_ascii=False)
-            elif text[begin] == "{" and any(p.startswith(name + ".") for p in paths):
-                yield from within(begin, name + ".")
-
-    if text[root] == "{":
-        yield from within(root, "")
+        node[leaf] = REMOVE if paths[path] == REMOVE else None
+    return tree
+
+
+def _check_schema(action: act.JsonMask, path: str) -> None:
+    """Refuse paths that the declared schema does not have."""
+    schema = T.StructType.fromDDL(action.schema)
+    for json_path in action.paths:
+        at: T.DataType = schema
+        for part in json_path.split("."):
+            if not isinstance(at, T.StructType) or part not in at.names:
+                raise MaskError(f"{path}: the declared schema has no field {json_path!r}")
+            at = at[part].dataType

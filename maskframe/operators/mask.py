@@ -183,12 +183,12 @@ def _stage(
     finder: SpanFinder | None,
     residues: _Residues,
 ) -> tuple[DataFrame, dict[str, JsonPlan]]:
-    """Add parsed documents, normalised text and seeds, each in a select of its own.
+    """Add parsed documents, their fields, normalised text and seeds, each in a select of its own.
 
     Catalyst keeps the selects apart because later ones use each helper several times, and
     drops helpers nobody reads. The residues providers take of the seeds come in one more.
     """
-    documents, texts, seeds = [], [], []
+    documents, found, texts, seeds = [], [], [], []
     json_plans: dict[str, JsonPlan] = {}
     for cell in cells:
         if isinstance(cell.action, act.NerMask):
@@ -200,6 +200,7 @@ def _stage(
             )
             json_plans[cell.name] = plan
             documents.append(plan.parsed)
+            found.extend(plan.found)
             texts.extend(plan.texts)
             seeds.extend(plan.seeds)
         elif isinstance(cell.action, (*_SEEDED, act.HmacHash)):
@@ -209,7 +210,7 @@ def _stage(
             texts.append(text.alias(cell.temp("text")))
             if isinstance(cell.action, _SEEDED):
                 seeds.append(_seed(cell, ctx).alias(cell.temp("seed")))
-    for helpers in (documents, texts, seeds):
+    for helpers in (documents, found, texts, seeds):
         if helpers:
             df = df.select("*", *helpers)
     return df, json_plans
