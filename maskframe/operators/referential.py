@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Collection, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskframe.context import MaskError
 from maskframe.functions.text import quoted
 from maskframe.operators.skew import NO_HEAVY_KEYS, HeavyKeys, distinct_keys, heavy_keys, key_join, key_types
 from maskframe.operators.verify import _union
-from maskframe.session import cut_lineage
+from maskframe.session import run_dir
 from maskframe.spec import ForeignKey, TableSpec
 
 
@@ -36,10 +39,15 @@ def subset(
 ) -> dict[str, DataFrame]:
     """Rows reachable from the root predicates, closed under foreign keys.
 
-    Children of kept rows are kept, table by table, and then every parent a kept row refers
-    to, so no reference dangles. Tables that are not reached give no rows. Without cycles
-    the result is lazy; cyclic keys are followed in rounds until nothing new turns up, or, if
-    given, for ``max_rounds`` rounds at most, beyond which it is an error.
+    Children of kept rows are kept, round by round, and then every parent a kept row refers
+    to, so no reference dangles. Tables that are not reached give no rows.
+
+    A table that can be reached is read once for its key columns, which are written to the shared
+    folder, and once more for the rows returned. Rounds work on the key columns alone, cycles
+    or not: each joins the keys that the round before found and writes those that are new, so
+    a key is written once however many rounds there are. Rounds end when nothing new turns up or, if
+    given, after ``max_rounds`` in either direction, beyond which it is an error. Tables without a
+    primary key are followed by the combinations of key values they hold.
     """
     edges = [
         _Edge(name, fk) for name, spec in specs.items() if name in tables
@@ -48,168 +56,153 @@ def subset(
     unknown = set(roots) - set(tables)
     if unknown:
         raise MaskError(f"unknown root table(s): {', '.join(sorted(unknown))}")
-    order = _parents_first(tables, edges)
-    if order is None:
-        return _cyclic_subset(tables, specs, edges, roots, max_rounds)
-    down: dict[str, DataFrame] = {}
-    entries: dict[str, list[_Edge]] = {}
-    for name in order:
-        entries[name] = [e for e in edges if e.child == name and e.parent in down]
-        if name in roots or entries[name]:
-            down[name] = _matching(tables[name], _links(entries[name], down), roots.get(name))
-    kept: dict[str, DataFrame] = {}
-    for name in reversed(order):
-        references = [
-            e for e in edges
-            if e.parent == name and e.child in kept and not _implied(e, entries, roots, kept, down)
-        ]
-        if references:
-            back = [(e.fk.parent_cols, e.fk.cols, kept[e.child], False) for e in references]
-            links = _links(entries[name], down) if name in down else []
-            kept[name] = _matching(tables[name], links + back, roots.get(name) if name in down else None)
-        elif name in down:
-            kept[name] = down[name]
-    return {name: kept.get(name, df.limit(0)) for name, df in tables.items()}
-
-
-def _links(edges: Sequence[_Edge], frames: Mapping[str, DataFrame]) -> list[tuple]:
-    return [(e.fk.cols, e.fk.parent_cols, frames[e.parent], True) for e in edges]
-
-
-def _implied(
-    edge: _Edge,
-    entries: Mapping[str, list[_Edge]],
-    roots: Mapping[str, str],
-    kept: Mapping[str, DataFrame],
-    down: Mapping[str, DataFrame],
-) -> bool:
-    """Whether the child's kept rows all came in over this very key, so their parents are kept."""
-    child = edge.child
-    return (
-        entries[child] == [edge] and child not in roots and kept[child] is down.get(child)
-    )
-
-
-def _parents_first(tables: Mapping[str, DataFrame], edges: list[_Edge]) -> list[str] | None:
-    """Table order with parents before children, or None when references form a cycle."""
-    waiting = {name: {e.parent for e in edges if e.child == name} for name in tables}
-    order: list[str] = []
-    while waiting:
-        ready = sorted(n for n, parents in waiting.items() if parents <= set(order))
-        if not ready:
-            return None
-        order += ready
-        for n in ready:
-            del waiting[n]
-    return order
-
-
-def _matching(
-    df: DataFrame,
-    links: Sequence[tuple[Sequence[str], Sequence[str], DataFrame, bool]],
-    predicate: str | None,
-) -> DataFrame:
-    """Rows that satisfy the predicate or whose columns equal a key of any linked frame.
-
-    Each link is (own columns, other columns, other frame, whether own keys may repeat).
-    Only distinct keys of the other frame travel.
-    """
-    if not links:
-        return df.where(F.expr(predicate))
-    if len(links) == 1 and predicate is None:
-        own, other, frame, repeats = links[0]
-        pairs = list(zip(own, other, strict=True))
-        return key_join(df, distinct_keys(frame, other), pairs, "left_semi", heavy=None if repeats else NO_HEAVY_KEYS)
-    marked = df
-    flags = []
-    for i, (own, other, frame, repeats) in enumerate(links):
-        names = [f"__l{i}_{j}" for j in range(len(other))]
-        keys = distinct_keys(frame, other, names).withColumn(f"__hit{i}", F.lit(True))
-        # Measured on the table itself: earlier marks neither add nor drop rows.
-        heavy = heavy_keys(df, own, key_types(df, own, keys, names)) if repeats else NO_HEAVY_KEYS
-        marked = key_join(marked, keys, list(zip(own, names, strict=True)), "left_outer", heavy=heavy)
-        flags.append(F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
-    if predicate is not None:
-        flags.append(F.coalesce(F.expr(predicate), F.lit(False)))
-    return marked.where(reduce(lambda a, b: a | b, flags)).select(*[quoted(c) for c in df.columns])
-
-
-def _cyclic_subset(
-    tables: Mapping[str, DataFrame],
-    specs: Mapping[str, TableSpec],
-    edges: list[_Edge],
-    roots: Mapping[str, str],
-    max_rounds: int | None,
-) -> dict[str, DataFrame]:
-    """Follow references in rounds over primary keys, first to children, then to parents."""
-    missing = [n for n in tables if not specs.get(n, TableSpec(n)).pk]
-    if missing:
-        raise MaskError(f"cyclic subset needs a primary key on: {', '.join(sorted(missing))}")
-    seeds = {n: tables[n].where(F.expr(p)) for n, p in roots.items()}
-    down = _reach(
-        tables, specs, seeds,
-        [(e.parent, e.fk.parent_cols, e.child, e.fk.cols) for e in edges], max_rounds,
-    )
-    rows = {n: _rows_of(tables[n], specs[n].pk, keys) for n, keys in down.items()}
-    kept = _reach(
-        tables, specs, rows,
-        [(e.child, e.fk.cols, e.parent, e.fk.parent_cols) for e in edges], max_rounds,
-    )
-    return {
-        n: _rows_of(df, specs[n].pk, kept[n]) if n in kept else df.limit(0)
-        for n, df in tables.items()
+    below = _connected(set(roots), [(e.parent, e.child) for e in edges])
+    involved = _connected(below, [(e.child, e.parent) for e in edges])
+    edges = [e for e in edges if e.child in involved and e.parent in involved]
+    keys = _KeyTables({n: tables[n] for n in sorted(involved)}, specs, edges, roots)
+    down = [(e.parent, e.fk.parent_cols, e.child, e.fk.cols) for e in edges]
+    entries = {n: [e for e in edges if e.child == n and e.parent in below] for n in involved}
+    keys.follow(down, max_rounds)
+    # Rows that came in over one key alone have their parents already.
+    implied = {
+        (e.child, e.fk.cols, e.parent, e.fk.parent_cols) for e in edges if entries[e.child] == [e] and e.child not in roots
     }
+    up = [(e.child, e.fk.cols, e.parent, e.fk.parent_cols) for e in edges]
+    keys.follow(up, max_rounds, not_first=implied)
+    return {name: keys.rows(name) if name in involved else df.limit(0) for name, df in tables.items()}
 
 
-def _rows_of(df: DataFrame, pk: Sequence[str], keys: DataFrame) -> DataFrame:
-    return key_join(df, keys, [(c, c) for c in pk], "left_semi", heavy=NO_HEAVY_KEYS)
+def _connected(start: set[str], ways: Sequence[tuple[str, str]]) -> set[str]:
+    """Everything that can be reached from ``start``."""
+    out, more = set(start), True
+    while more:
+        found = {b for a, b in ways if a in out} - out
+        out, more = out | found, bool(found)
+    return out
 
 
-def _reach(
-    tables: Mapping[str, DataFrame],
-    specs: Mapping[str, TableSpec],
-    seeds: Mapping[str, DataFrame],
-    steps: Sequence[tuple[str, Sequence[str], str, Sequence[str]]],
-    max_rounds: int | None,
-) -> dict[str, DataFrame]:
-    """Primary keys reachable from ``seeds`` over (from, columns, to, columns) steps.
+_Step = tuple[str, Sequence[str], str, Sequence[str]]
+
+
+class _KeyTables:
+    """The key columns of the tables a subset can reach, and the keys kept so far as one file set per round."""
+
+    def __init__(
+        self, tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec], edges: Sequence[_Edge], roots: Mapping[str, str]
+    ) -> None:
+        self._tables, self._roots = tables, roots
+        self._spark = next(iter(tables.values())).sparkSession if tables else None
+        self._pk = {n: list(specs.get(n, TableSpec(n)).pk) for n in tables}
+        self._unique = {n: specs.get(n, TableSpec(n)).unique_groups for n in tables}
+        self._columns = {
+            n: list(dict.fromkeys([
+                *self._pk[n], *[c for e in edges if e.child == n for c in e.fk.cols],
+                *[c for e in edges if e.parent == n for c in e.fk.parent_cols],
+            ]))
+            for n in tables
+        }
+        self._folder = run_dir(self._spark, "subset") if tables else ""
+        self._heavy: dict[_Step, HeavyKeys] = {}
+        self._deltas: dict[str, list[str]] = {n: [] for n in tables}
+        self._schemas: dict[str, T.StructType] = {}
+        with ThreadPoolExecutor(4) as pool:
+            self._whole = dict(zip(tables, pool.map(self._project, tables), strict=True))
+        self._seeds = {n: self._whole[n].where("__root").drop("__root").distinct() for n in roots}
+
+    def _project(self, name: str) -> DataFrame:
+        df = self._tables[name]
+        root = F.coalesce(F.expr(self._roots[name]), F.lit(False)) if name in self._roots else F.lit(False)
+        # A table without a key that refers to nothing and is not referred to has roots at most.
+        keys = df.select(*[quoted(c) for c in self._columns[name]], root.alias("__root"))
+        path = f"{self._folder}/{name}/keys"
+        keys.write.parquet(path)
+        self._schemas[name] = keys.drop("__root").schema
+        return self._spark.read.schema(keys.schema).parquet(path)
+
+    def _kept(self, name: str) -> DataFrame | None:
+        paths = self._deltas[name]
+        return self._spark.read.schema(self._schemas[name]).parquet(*paths) if paths else None
+
+    def _add(self, name: str, found: DataFrame, known: bool) -> DataFrame | None:
+        """Write the keys of ``found`` that are not kept yet; None if there are none."""
+        fresh, kept = found.distinct(), self._kept(name) if known else None
+        if kept is not None:
+            fresh = fresh.join(kept, self._same(name, fresh, kept), "left_anti")
+        count, path = Observation(), f"{self._folder}/{name}/{len(self._deltas[name]):05d}-{uuid.uuid4().hex}"
+        fresh.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        if not count.get["n"]:
+            return None
+        self._deltas[name].append(path)
+        return self._spark.read.schema(self._schemas[name]).parquet(path)
+
+    def _same(self, name: str, a: DataFrame, b: DataFrame) -> Column:
+        """Equal primary keys or, where there is none, equal key values throughout."""
+        names = self._pk[name] or self._columns[name]
+        return reduce(lambda x, y: x & y, [a[_tick(c)].eqNullSafe(b[_tick(c)]) for c in names])
+
+    def follow(self, steps: Sequence[_Step], max_rounds: int | None, not_first: Collection[_Step] = ()) -> None:
+        """Keep whatever ``steps`` (from, columns, to, columns) reach from the keys kept so far and the roots.
+
+        Steps in ``not_first`` need not be taken from the keys kept at the start.
+        """
+        frontier = {n: kept for n in self._tables if (kept := self._kept(n)) is not None}
+        for name, seeds in self._seeds.items():
+            if self._columns[name]:
+                # Without a primary key equal keys do not make equal rows: roots are not yet kept keys.
+                fresh = self._add(name, seeds, known=True) if self._pk[name] else seeds
+                if fresh is not None:
+                    frontier[name] = frontier[name].unionByName(fresh) if name in frontier else fresh
+        skipped, rounds = set(not_first), 0
+        while frontier:
+            found: dict[str, list[DataFrame]] = {}
+            taken = [s for s in steps if s[0] in frontier and s not in skipped]
+            with ThreadPoolExecutor(4) as pool:
+                self._heavy.update(pool.map(lambda s: (s, self._heavy.get(s) or self._measured(s)), taken))
+            for step in taken:
+                origin, origin_cols, to, to_cols = step
+                reached = key_join(
+                    self._whole[to].drop("__root"), distinct_keys(frontier[origin], origin_cols),
+                    list(zip(to_cols, origin_cols, strict=True)), "left_semi", heavy=self._heavy[step],
+                )
+                found.setdefault(to, []).append(reached)
+            if not found:
+                return
+            if max_rounds is not None and rounds >= max_rounds:
+                raise MaskError(f"subset did not settle within {max_rounds} rounds")
+            with ThreadPoolExecutor(4) as pool:
+                added = pool.map(lambda item: (item[0], self._add(item[0], _union(item[1]), known=True)), found.items())
+                frontier = {name: fresh for name, fresh in added if fresh is not None}
+            skipped, rounds = set(), rounds + 1
+
+    def _measured(self, step: _Step) -> HeavyKeys:
+        """The heavy keys on the side a step leads to; a key that identifies rows has none."""
+        origin, origin_cols, to, to_cols = step
+        if tuple(to_cols) in self._unique[to]:
+            return NO_HEAVY_KEYS
+        return heavy_keys(self._whole[to], to_cols, key_types(self._whole[to], to_cols, self._whole[origin], origin_cols))
+
+    def rows(self, name: str) -> DataFrame:
+        """The rows of a table whose keys were kept, or that are roots."""
+        df, kept = self._tables[name], self._kept(name)
+        if self._pk[name]:
+            if kept is None:
+                return df.limit(0)
+            return key_join(df, distinct_keys(kept, self._pk[name]), [(c, c) for c in self._pk[name]], "left_semi", heavy=NO_HEAVY_KEYS)
+        root = F.coalesce(F.expr(self._roots[name]), F.lit(False)) if name in self._roots else None
+        if kept is None:
+            return df.limit(0) if root is None else df.where(root)
+        held = kept.distinct().select(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(self._columns[name])])
+        pairs = reduce(
+            lambda x, y: x & y, [df[_tick(c)].eqNullSafe(held[f"__k{i}"]) for i, c in enumerate(self._columns[name])]
+        )
+        if root is None:
+            return df.join(held, pairs, "left_semi")
+        marked = df.join(held.withColumn("__kept", F.lit(True)), pairs, "left_outer")
+        return marked.where(F.coalesce(F.col("__kept"), F.lit(False)) | root).select(*[df[_tick(c)] for c in df.columns])
 
-    Each round joins only the keys found in the round before. The keys of every round are
-    written to the checkpoint folder, so neither the plan nor the recovery work grows.
-    """
-    frontier = {n: cut_lineage(distinct_keys(df, specs[n].pk)) for n, df in seeds.items()}
-    known = dict(frontier)
-    heavy: dict[tuple, HeavyKeys] = {}
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        found: dict[str, list[DataFrame]] = {}
-        for origin, origin_cols, to, to_cols in steps:
-            if origin not in frontier:
-                continue
-            active = _rows_of(tables[origin], specs[origin].pk, frontier[origin])
-            step = (to, tuple(to_cols), origin, tuple(origin_cols))
-            if step not in heavy:
-                types = key_types(tables[to], to_cols, tables[origin], origin_cols)
-                heavy[step] = heavy_keys(tables[to], to_cols, types)
-            reached = key_join(
-                tables[to], distinct_keys(active, origin_cols),
-                list(zip(to_cols, origin_cols, strict=True)), "left_semi", heavy=heavy[step],
-            )
-            found.setdefault(to, []).append(distinct_keys(reached, specs[to].pk))
-        frontier = {}
-        for name, parts in found.items():
-            fresh = _union(parts).distinct()
-            if name in known:
-                fresh = fresh.join(known[name], list(specs[name].pk), "left_anti")
-            fresh = cut_lineage(fresh)
-            if not fresh.isEmpty():
-                frontier[name] = fresh
-        if not frontier:
-            return known
-        for name, fresh in frontier.items():
-            known[name] = cut_lineage(known[name].unionByName(fresh)) if name in known else fresh
-    raise MaskError(f"subset did not settle within {max_rounds} rounds")
+
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def null_orphan_fks(
