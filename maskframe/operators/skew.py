@@ -84,10 +84,12 @@ def _typed(df: DataFrame, cols: Sequence[str], types: Sequence[T.DataType] | Non
     """Key parts in the types of the comparison; text that is no such value becomes NULL."""
     if types is None:
         return [quoted(c) for c in cols]
-    return [
-        quoted(c) if df.schema[c].dataType == t else quoted(c).try_cast(t)
-        for c, t in zip(cols, types, strict=True)
-    ]
+    return [typed_key(df, c, t) for c, t in zip(cols, types, strict=True)]
+
+
+def typed_key(df: DataFrame, col: str, kind: T.DataType) -> Column:
+    """A key part in the type of the comparison; text that is no such value becomes NULL."""
+    return quoted(col) if df.schema[col].dataType == kind else quoted(col).try_cast(kind)
 
 
 def key_hash(df: DataFrame, cols: Sequence[str], types: Sequence[T.DataType] | None = None) -> Column:
