@@ -18,8 +18,8 @@ class MaskContext:
     """Everything a masking expression depends on besides the row itself.
 
     ``as_of`` replaces the wall clock for age arithmetic, so a plan is a pure function of
-    its inputs. ``nfc`` picks how text is normalised before seeding: ``"jvm"`` (ICU inside
-    the executor JVM), ``"arrow"`` (Python worker) or ``"off"`` for columns known to be
+    its inputs. ``nfc`` picks how text is normalised before seeding: ``"jvm"`` (ordinary
+    expressions), ``"arrow"`` (Python worker) or ``"off"`` for columns known to be
     normalised already.
     """
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskframe.functions.compose import compose
+
 # The whitespace str.strip() removes, as a regex character class body.
 SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -30,15 +32,10 @@ def _nfc_arrow(values: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column, mode: str = "jvm") -> Column:
-    """Unicode NFC. ASCII values, where byte and character counts agree, skip the call."""
+    """Unicode NFC, by deterministic expressions or (``"arrow"``) in Python workers."""
     if mode == "off":
         return c
-    if mode == "arrow":
-        return _nfc_arrow(c)
-    composed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False)
-    )
-    return F.when(F.octet_length(c) != F.char_length(c), composed).otherwise(c)
+    return _nfc_arrow(c) if mode == "arrow" else compose(c)
 
 
 def segment(value: str) -> bytes:

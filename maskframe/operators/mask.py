@@ -107,8 +107,8 @@ def mask_table(
 ) -> DataFrame:
     """Mask the configured columns and pass the others through; schema order is kept.
 
-    ``where`` keeps only the rows that satisfy it before masking, so it reaches the scan,
-    partition pruning included; a filter on the result stays above the Unicode normalisation.
+    ``where`` keeps only the rows that satisfy it before masking. It reaches the scan, partition
+    pruning included, and so does a later filter on columns that are passed through.
 
     ``table`` supplies the seed path prefix and, given as a TableSpec, which columns are
     unique. Works on batch and streaming inputs alike: there is no shuffle and no state.
