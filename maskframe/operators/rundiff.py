@@ -64,15 +64,18 @@ def diff_runs(a: DataFrame, b: DataFrame, *, fanout: Sequence[int] = (64, 64)) -
     side, digest, at, n = "__side", "__digest", "__bucket", "__n"
     both = a.select("*", F.lit(1).alias(side)).unionByName(b.select("*", F.lit(-1).alias(side)))
     rows = both.withColumn(digest, row_digest(both.drop(side)))
+    suspects = rows
     for level in range(len(fanout)):
         buckets = _bucket(digest, fanout[: level + 1])
         sums = [F.sum(F.col(side) * piece).alias(f"__s{i}") for i, piece in enumerate(_pieces(digest))]
-        counted = rows.groupBy(buckets.alias(at)).agg(F.sum(side).alias(n), *sums)
+        counted = suspects.groupBy(buckets.alias(at)).agg(F.sum(side).alias(n), *sums)
         unequal = counted.where(" OR ".join([f"{n} <> 0", *[f"__s{i} <> 0" for i in range(_PIECES)]])).select(at)
-        rows = rows.withColumn(at, buckets).join(F.broadcast(unequal), at, "left_semi").drop(at)
-    surplus = rows.groupBy(digest).agg(F.sum(side).alias(n)).where(f"{n} <> 0")
+        # All rows again, not the suspects: buckets of this level name the ones above, and one scan suffices.
+        # Buckets are unique, so an inner join keeps each row once; a semi join would be copied into the union.
+        suspects = rows.withColumn(at, buckets).join(F.broadcast(unequal), at)
+    surplus = suspects.groupBy(digest).agg(F.sum(side).alias(n)).where(f"{n} <> 0")
     whole = F.struct(*[quoted(c) for c in a.columns])
-    found = rows.join(surplus.select(digest), digest, "left_semi").groupBy(digest).agg(
+    found = rows.join(surplus.select(digest), digest).groupBy(digest).agg(
         F.any_value(whole).alias("__row"), F.sum(side).alias(n)
     )
     return found.select(

@@ -71,3 +71,5 @@ def test_equal_runs_are_scanned_once(spark, tmp_path):
     assert out.collect() == []
     final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") <= 2
+    planned = out._jdf.queryExecution().sparkPlan().toString()
+    assert planned.count("FileScan parquet") == 2 * 4  # per side: two levels, digests, rows
