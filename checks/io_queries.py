@@ -13,7 +13,7 @@ from maskframe.operators.verify import diff_runs
 from maskframe.plans import RunConfig, run, verify_run
 from maskframe.session import run_dir
 from maskframe.sources import (
-    apply_strategy, copy_passthrough, dual_write, read_after, read_files, read_table, row_filter,
+    apply_strategy, copy_passthrough, dual_write, range_predicates, read_after, read_files, read_table, row_filter,
     sink_stats, write_files, write_table,
 )
 from maskframe.sources.synth import BIO_FACTORS, customer_columns
@@ -39,6 +39,38 @@ def after_cursor_slice(spark: SparkSession, sf: str) -> DataFrame:
     return read_after(table(spark, sf, "orders"), "o_orderkey", 250, 1000)
 
 
+@query(
+    "read_after_composite",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem
+       WHERE l_orderkey > 300 OR (l_orderkey = 300 AND l_linenumber > 2)""",
+)
+def after_composite_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    after = read_after(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], (300, 2))
+    return after.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+
+
+_CUTS = [("A", 40), ("N", 20), ("N", 300), ("R", 1)]
+
+
+@query(
+    "read_key_ranges",
+    """SELECT CASE WHEN l_returnflag < 'A' OR (l_returnflag = 'A' AND l_partkey < 40) THEN 0
+                WHEN l_returnflag < 'N' OR (l_returnflag = 'N' AND l_partkey < 20) THEN 1
+                WHEN l_returnflag = 'N' AND l_partkey < 300 THEN 2
+                WHEN l_returnflag < 'R' OR (l_returnflag = 'R' AND l_partkey < 1) THEN 3 ELSE 4 END AS range_no,
+              l_returnflag, l_partkey, l_orderkey, l_linenumber FROM lineitem""",
+)
+def key_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table, range by range of a key of a text and a number, as a database would be asked."""
+    lineitem, out = table(spark, sf, "lineitem"), None
+    for i, predicate in enumerate(range_predicates(["l_returnflag", "l_partkey"], _CUTS, quote="`")):
+        part = row_filter(lineitem, predicate).select(
+            F.lit(i).alias("range_no"), "l_returnflag", "l_partkey", "l_orderkey", "l_linenumber"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "row_filter",
     "SELECT * FROM lineitem WHERE (l_quantity > 10 OR l_discount = 0.0) AND (l_returnflag = 'R') AND (l_tax < 0.05)",

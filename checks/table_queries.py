@@ -315,6 +315,35 @@ def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("null_share_delta", F.round("null_share_delta", 6)).withColumn("avg_width_delta", F.round("avg_width_delta", 4))
 
 
+@query(
+    "drift_declared",
+    """WITH cur AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT count(*) AS n FROM orders),
+         c AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 = 0) AS nulls FROM cur)
+       SELECT 'orders' AS table_id, v.column_name, v.change, v.change <> 'none' AS has_drift,
+         CASE WHEN v.change IN ('added', 'removed') THEN NULL ELSE c.n - p.n END AS rows_delta,
+         CASE WHEN v.change IN ('added', 'removed') THEN NULL WHEN v.column_name = 'o_custkey' THEN round(c.nulls / c.n, 6)
+              ELSE 0.0 END AS null_share_delta
+       FROM p, c, (VALUES ('o_orderkey', 'none'), ('o_custkey', 'none'), ('o_orderstatus', 'nullability'), ('o_totalprice', 'retyped'),
+         ('o_orderpriority', 'removed'), ('o_clerk', 'added')) v(column_name, change)""",
+)
+def declared_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """First NULLs in a nullable column are no drift; a declared NOT NULL and a wider decimal are."""
+    orders = table(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    before = orders.select("o_orderkey", "o_custkey", "o_orderstatus", price.cast("decimal(14,2)").alias("o_totalprice"), "o_orderpriority")
+    after = orders.where("o_orderkey % 3 <> 0").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"), "o_orderstatus",
+        price.cast("decimal(16,2)").alias("o_totalprice"), F.concat(F.lit("clerk"), F.col("o_custkey").cast("string")).alias("o_clerk"),
+    )
+    was = TableSpec("orders", pk=("o_orderkey",))
+    now = TableSpec("orders", pk=("o_orderkey",), not_null=frozenset({"o_orderstatus"}))
+    declared = drift.drift_declared(
+        drift.declared_schema(spark, {"orders": before}, {"orders": was}), drift.declared_schema(spark, {"orders": after}, {"orders": now})
+    )
+    out = drift.drift(profile.profile(before, "orders"), profile.profile(after, "orders"), declared)
+    return out.select("table_id", "column_name", "change", "has_drift", "rows_delta", F.round("null_share_delta", 6).alias("null_share_delta"))
+
+
 @query(
     "new_partitions",
     """SELECT DISTINCT year(o_orderdate)::INT AS order_year, o_orderstatus FROM orders

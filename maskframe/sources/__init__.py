@@ -1,7 +1,8 @@
 """Readers, writers and synthetic inputs."""
 
 from maskframe.sources.read import (
-    apply_strategy, read_after, read_files, read_jdbc, read_table, row_filter,
+    apply_strategy, cursor_after, range_predicates, read_after, read_files, read_jdbc, read_table,
+    row_filter, split_query,
 )
 from maskframe.sources.synth import synth_customers
 from maskframe.sources.write import (
@@ -9,7 +10,7 @@ from maskframe.sources.write import (
 )
 
 __all__ = [
-    "apply_strategy", "copy_passthrough", "dual_write", "read_after", "read_files", "read_jdbc",
-    "read_table", "row_filter", "sink_stats", "synth_customers", "write_files", "write_jdbc",
-    "write_table",
+    "apply_strategy", "copy_passthrough", "cursor_after", "dual_write", "range_predicates", "read_after",
+    "read_files", "read_jdbc", "read_table", "row_filter", "sink_stats", "split_query",
+    "synth_customers", "write_files", "write_jdbc", "write_table",
 ]
