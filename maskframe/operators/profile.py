@@ -40,20 +40,17 @@ def _ident(name: str) -> str:
 def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataFrame:
     """One row per column: rows, nulls, distinct, avg width in bytes, longest text, type.
 
-    A single aggregation over one scan. The default distinct count is a mergeable sketch;
+    One scan. The default distinct count is a sketch, merged layer by layer (:func:`profile_state`);
     ``exact_distinct`` counts digests of the values in a second pass (:func:`value_counts`).
     """
+    if not exact_distinct:
+        return profile_of(profile_state(df, table))
     fields = df.schema.fields
     aggs = [F.expr("count(1) AS n_rows")]
     for i, f in enumerate(fields):
-        c = _ident(f.name)
-        nested = isinstance(f.dataType, _NESTED)
-        text = f"to_json({c})" if nested else f"CAST({c} AS STRING)"
-        value = text if nested else c
-        distinct = "0" if exact_distinct else f"approx_count_distinct({value})"
+        c, text = _ident(f.name), _text_of(f)
         aggs += [
             F.expr(f"count_if({c} IS NULL) AS c{i}_nulls"),
-            F.expr(f"max({distinct}) AS c{i}_n_distinct" if exact_distinct else f"{distinct} AS c{i}_n_distinct"),
             F.expr(f"avg(octet_length({text})) AS c{i}_avg_width"),
             F.expr(f"max(char_length({text})) AS c{i}_max_length"),
         ]
@@ -65,20 +62,89 @@ def profile(df: DataFrame, table: str, *, exact_distinct: bool = False) -> DataF
     stats = unpivot_stats(
         row,
         [f.name for f in fields],
-        {
-            "data_type": "string", "n_rows": "bigint", "nulls": "bigint", "n_distinct": "bigint",
-            "avg_width": "double", "max_length": "bigint",
-        },
+        {"data_type": "string", "n_rows": "bigint", "nulls": "bigint", "avg_width": "double", "max_length": "bigint"},
     )
-    if exact_distinct:
-        names = F.array(*[F.lit(f.name) for f in fields])
-        counted = value_counts(df, df.columns).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-        counted = counted.select(F.get(names, F.col("i")).alias("counted_name"), "n")
-        columns = stats.columns
-        stats = stats.join(counted, F.col("column_name") == F.col("counted_name"), "left").withColumn(
-            "n_distinct", F.coalesce("n", F.lit(0).cast("long"))
-        ).select(*columns)
-    return stats.select(F.lit(table).alias("table_id"), "*")
+    names = F.array(*[F.lit(f.name) for f in fields])
+    counted = value_counts(df, df.columns).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select(F.get(names, F.col("i")).alias("counted_name"), "n")
+    stats = stats.join(counted, F.col("column_name") == F.col("counted_name"), "left").withColumn(
+        "n_distinct", F.coalesce("n", F.lit(0).cast("long"))
+    )
+    return stats.select(F.lit(table).alias("table_id"), *_PROFILE)
+
+
+_PROFILE = ["column_name", "data_type", "n_rows", "nulls", "n_distinct", "avg_width", "max_length"]
+_STATE_KEY = ["table_id", "column_name", "data_type"]
+_STATE = (
+    "table_id string, column_name string, data_type string, n_rows bigint, nulls bigint, "
+    "width bigint, max_length bigint, sketch binary"
+)
+
+
+def _text_of(f: T.StructField) -> str:
+    return f"to_json({_ident(f.name)})" if isinstance(f.dataType, _NESTED) else f"CAST({_ident(f.name)} AS STRING)"
+
+
+def profile_state(df: DataFrame, table: str, *, fan: int = 256) -> DataFrame:
+    """What a profile is worked out from, one row per column, made to be stored and merged.
+
+    Every task makes one sketch per column; each further step merges at most ``fan`` of them, column
+    by column: those of neighbouring tasks, then those of neighbouring groups, then (up to ``fan`` ** 3
+    tasks) what is left. An empty table gives rows with zeros. States of separate parts of a
+    table, a new partition say, are put together by :func:`merge_profiles` without a scan of the others.
+    """
+    fields = df.schema.fields
+    part = F.floor(F.spark_partition_id() / F.lit(fan)).cast("int").alias("part")
+    cells, aggs, states = [part], [F.count(F.lit(1)).alias("n_rows")], []
+    for i, f in enumerate(fields):
+        c, text = _ident(f.name), _text_of(f)
+        value = text if isinstance(f.dataType, _NESTED) else c
+        cells += [
+            F.expr(f"CASE WHEN {c} IS NOT NULL THEN xxhash64({value}) END AS c{i}_hash"),
+            F.expr(f"CAST(octet_length({text}) AS BIGINT) AS c{i}_width"), F.expr(f"char_length({text}) AS c{i}_length"),
+        ]
+        aggs += [
+            F.count(f"c{i}_hash").alias(f"c{i}_filled"), F.sum(f"c{i}_width").alias(f"c{i}_width"),
+            F.max(f"c{i}_length").alias(f"c{i}_length"), F.hll_sketch_agg(f"c{i}_hash").alias(f"c{i}_sketch"),
+        ]
+        states.append(F.struct(
+            F.lit(table).alias("table_id"), F.lit(f.name).alias("column_name"), F.lit(base_type(f.dataType)).alias("data_type"),
+            F.col("n_rows"), (F.col("n_rows") - F.col(f"c{i}_filled")).alias("nulls"),
+            F.coalesce(f"c{i}_width", F.lit(0).cast("long")).alias("width"), F.col(f"c{i}_length").cast("long").alias("max_length"),
+            F.col(f"c{i}_sketch").alias("sketch"),
+        ))
+    spark = df.sparkSession
+    zeros = spark.createDataFrame([(table, f.name, base_type(f.dataType), 0, 0, 0, None, None) for f in fields], _STATE)
+    if not fields:
+        return zeros
+    layer = df.select(*cells).groupBy("part").agg(*aggs).select("part", F.explode(F.array(*states)).alias("s")).select("part", "s.*")
+    layer = _merged(layer.withColumn("part", F.floor(F.col("part") / F.lit(fan)).cast("int")), [*_STATE_KEY, "part"])
+    return _merged(layer.drop("part").unionByName(zeros), _STATE_KEY)
+
+
+def _merged(states: DataFrame, keys: list[str]) -> DataFrame:
+    return states.groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"), F.sum("width").alias("width"),
+        F.max("max_length").alias("max_length"), F.hll_union_agg("sketch").alias("sketch"),
+    )
+
+
+def merge_profiles(*states: DataFrame) -> DataFrame:
+    """The state of all parts together. Parts must not share rows; a column retyped between two has a row for each type."""
+    out = states[0]
+    for state in states[1:]:
+        out = out.unionByName(state)
+    return _merged(out, _STATE_KEY)
+
+
+def profile_of(state: DataFrame) -> DataFrame:
+    """The profile that a state amounts to."""
+    filled = F.nullif(F.col("n_rows") - F.col("nulls"), F.lit(0).cast("long"))
+    return state.select(
+        "table_id", "column_name", "data_type", "n_rows", "nulls",
+        F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0).cast("long")).alias("n_distinct"),
+        (F.col("width") / filled).alias("avg_width"), "max_length",
+    ).select("table_id", *_PROFILE)
 
 
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
