@@ -146,22 +146,23 @@ def mask_regex_in_python(spark: SparkSession, sf: str) -> DataFrame:
 NER_PATTERNS = {"PERSON": "Ea[a-z]+", "ORG": "Th[a-z]+"}
 
 
-def _ner_sql() -> str:
+def ner_sql(source: str = "documents", key: str = "doc_id", column: str = "text", path: str = "documents.text") -> str:
+    """``key`` and ``column`` of a table, the latter with what ``NER_PATTERNS`` find replaced."""
     pattern = "Ea[a-z]+|Th[a-z]+"
     person = g.provider("full_name", "h")
     company = g.provider("company", "h")
     fake = (
-        f"CASE WHEN starts_with(e, 'Th') THEN list_transform([{g.seed('e', 'documents.text#ner:ORG')}], lambda h: {company})[1] "
-        f"ELSE list_transform([{g.seed('e', 'documents.text#ner:PERSON')}], lambda h: {person})[1] END"
+        f"CASE WHEN starts_with(e, 'Th') THEN list_transform([{g.seed('e', path + '#ner:ORG')}], lambda h: {company})[1] "
+        f"ELSE list_transform([{g.seed('e', path + '#ner:PERSON')}], lambda h: {person})[1] END"
     )
-    return f"""SELECT doc_id, CASE WHEN len(ents) = 0 THEN text ELSE
+    return f"""SELECT {key}, CASE WHEN len(ents) = 0 THEN {column} ELSE
         array_to_string(list_transform(list_zip(parts, ents), lambda p: p[1] || coalesce(
-          list_transform([p[2]], lambda e: CASE WHEN e IS NULL THEN '' ELSE {fake} END)[1], '')), '') END AS text
-      FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ents,
-            string_split_regex(text, '{pattern}') AS parts FROM documents)"""
+          list_transform([p[2]], lambda e: CASE WHEN e IS NULL THEN '' ELSE {fake} END)[1], '')), '') END AS {column}
+      FROM (SELECT {key}, {column}, regexp_extract_all({column}, '{pattern}') AS ents,
+            string_split_regex({column}, '{pattern}') AS parts FROM {source})"""
 
 
-@query("mask_ner", _ner_sql())
+@query("mask_ner", ner_sql())
 def mask_ner(spark: SparkSession, sf: str) -> DataFrame:
     """Entity spans over whole documents, with a pattern-based span finder."""
     df = table(spark, sf, "documents").select("doc_id", "text")

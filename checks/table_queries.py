@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from checks import sqlgen as g
 from checks.inputs import PEOPLE_SQL, SPECS, people, star, table
+from checks.masking_queries import NER_PATTERNS, ner_sql
 from checks.registry import query
 from maskframe import Fake, ForeignKey, Hash, Null, Static, TableSpec, mask_table, mask_tables
 from maskframe.operators import audit, detect, drift, profile, references, referential, verify
-from maskframe.operators.ner import phrase_finder
+from maskframe.operators.ner import pattern_finder, phrase_finder
 
 CTX = g.CTX
 W = "WITH " + PEOPLE_SQL
@@ -261,6 +262,52 @@ def auto_mask(spark: SparkSession, sf: str) -> DataFrame:
     return masked["app.customers"]
 
 
+def _cells_sql(table_id: str, key: str, source: str, cells: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{table_id}' AS table_id, {key}::VARCHAR AS row_key, '{name}' AS column_name, ({value})::VARCHAR AS value FROM {source}"
+        for name, value in cells.items()
+    )
+
+
+@query(
+    "auto_mask_tables",
+    f"{W}, " + ", ".join([
+        f"tickets AS ({ner_sql('documents', 'doc_id', 'text', 'app.tickets.comment_body')})",
+        f"noted AS ({ner_sql('pages', 'page_id', 'html', 'app.pages.note_html')}) ",
+    ]) + " UNION ALL ".join([
+        _cells_sql("app.customers", "id", "people", {
+            "email": g.fake("email", "email", "app.customers.email"), "home_phone": g.fake("phone", "phone", "app.customers.home_phone"),
+            "tax_id": g.fake("ssn", "ssn", "app.customers.tax_id"), "birth_date": g.fake("dob", "dob", "app.customers.birth_date"),
+            "full_name": "'x'", "notes": "nickname", "country_id": "nation_id",
+            "session_token": g.fake("uuid", "'k'", "app.customers.session_token"),
+        }),
+        _cells_sql("app.products", "doc_id", "documents", {"description": "text", "about_lang": "lang"}),
+        _cells_sql("app.tickets", "doc_id", "tickets", {"comment_body": "text"}),
+        _cells_sql("app.tickets", "doc_id", "documents", {"bio": "source"}),
+        _cells_sql("app.pages", "page_id", "noted", {"note_html": "html"}),
+        _cells_sql("app.pages", "page_id", "pages", {"ip": g.fake("ip_address", "url", "app.pages.ip")}),
+        _cells_sql("app.secrets", "NULL", "supplier", {"password": g.lit(CTX.password)}),
+    ]),
+)
+def auto_mask_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell of all five tables that detection decided about, masked or passed through."""
+    masked = detect.auto_mask(
+        _detection_inputs(spark, sf), CTX, _DETECTION_RULES, specs=_DETECTION_SPECS, finder=pattern_finder(NER_PATTERNS)
+    )
+    out = None
+    for name, df in masked.items():
+        keys = [c for c in df.columns if c in ("id", "page_id")]
+        cells = [
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns if c not in keys
+        ]
+        row_key = F.col(keys[0]) if keys else F.lit(None)
+        part = df.select(
+            F.lit(name).alias("table_id"), row_key.cast("string").alias("row_key"), F.explode(F.array(*cells)).alias("cell")
+        ).select("table_id", "row_key", "cell.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "unique_columns",
     " UNION ALL ".join(
