@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from maskframe.context import MaskError
 from maskframe.functions.text import quoted
-from maskframe.operators.skew import NO_HEAVY_KEYS, HeavyKeys, distinct_keys, heavy_keys, key_join, key_types
+from maskframe.operators.skew import NO_HEAVY_KEYS, HeavyKeys, distinct_keys, heavy_keys, key_join, key_types, typed_key
 from maskframe.operators.verify import _union
 from maskframe.session import run_dir
 from maskframe.spec import ForeignKey, TableSpec
@@ -268,17 +268,23 @@ def exclude_conflicts(
 
 
 def _join_size(child: DataFrame, parent: DataFrame, fk: ForeignKey, side: str) -> DataFrame:
-    """Row count of the equi-join, computed from per-key counts of both sides."""
+    """Row count of the equi-join, computed from per-key counts of both sides.
+
+    Counted in one grouping, without a join or a filter: conditions on masked keys would be
+    pushed below the masking, whose expressions then stand in the plan many times over.
+    """
+    types = key_types(child, fk.cols, parent, fk.parent_cols)
     names = [f"k{i}" for i in range(len(fk.cols))]
 
-    def counts(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-        present = reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in cols])
-        keys = [quoted(c).alias(n) for c, n in zip(cols, names, strict=True)]
-        return df.where(present).groupBy(*keys).agg(F.count("*").alias(label))
+    def tagged(df: DataFrame, cols: Sequence[str], label: int) -> DataFrame:
+        keys = [typed_key(df, c, t).alias(n) for c, t, n in zip(cols, types, names, strict=True)]
+        return df.select(*keys, F.lit(label).alias("child"))
 
-    joined = counts(child, fk.cols, "nc").join(counts(parent, fk.parent_cols, "np"), names)
-    size = F.coalesce(F.sum(F.col("nc") * F.col("np")), F.lit(0)).alias("n")
-    return joined.agg(size).select(F.lit(side).alias("side"), "n")
+    both = tagged(child, fk.cols, 1).unionAll(tagged(parent, fk.parent_cols, 0))
+    pairs = both.groupBy(*names).agg(F.sum("child").alias("nc"), F.sum(1 - F.col("child")).alias("np"))
+    present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    size = F.coalesce(F.sum(F.when(present, F.col("nc") * F.col("np"))), F.lit(0)).alias("n")
+    return pairs.agg(size).select(F.lit(side).alias("side"), "n")
 
 
 def fk_mask_consistency(
