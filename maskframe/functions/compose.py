@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -52,7 +53,8 @@ def tables() -> Tables:
     never = {c for c in full if unicodedata.normalize("NFC", c) != c}
     ordered = "".join(sorted(marks))
     return Tables(
-        char_class(marks | joining | never, gap=_GAP), char_class(marks), full, ordered,
+        # Nothing below U+0300 is doubtful; said first, it spares such characters the other tests.
+        r"\x{300}-\x{10ffff}&&[" + char_class(marks | joining | never, gap=_GAP) + "]", char_class(marks), full, ordered,
         "".join(chr(0xE000 + unicodedata.combining(c)) for c in ordered), pairs,
     )
 
@@ -84,19 +86,20 @@ def compose(c: Column) -> Column:
 def _composer() -> str:
     """The lambda that composes one text. As one parsed text it is built fast for many columns.
 
-    Runs (p) are decomposed and cut into pieces (q) that cannot join each other; in a piece the
-    marks behind each starter are ordered by class, then joined from left to right. The state
-    holds what is done, the starter, the marks behind it and the class of the last of them.
+    Most runs (p) are two characters that make one, found at once. Others are decomposed and cut
+    into pieces (q) that cannot join each other; in a piece the marks behind each starter are
+    ordered by class, then joined from left to right. The state holds what is done, the starter,
+    the marks behind it and the class of the last of them.
     """
     t = tables()
     q, m = t.doubtful, t.marks
-    groups = f"split(q, r'(?=[^{m}{_LOW}])')"
+    groups = f"regexp_extract_all(q, r'[^{m}][{m}]*|[{m}]+', 0)"
     rank = f"ascii(translate(h, {_text(t.ordered)}, {_text(t.classes)})) - {0xE000}"
-    ranked = f"named_struct('k', if({rank} BETWEEN 1 AND 255, {rank}, 0), 'i', i, 'c', h)"
+    ranked = f"transform(array({rank}), k -> named_struct('k', if(k BETWEEN 1 AND 255, k, 0), 'i', i, 'c', h))[0]"
     state = "named_struct('done', {}, 'starter', {}, 'tail', {}, 'last', {})"
     joined = (
         "IF(s.starter <> '' AND (s.tail = '' OR s.last < e.k), "
-        f"coalesce(try_element_at({_map(t.pairs)}, s.starter || e.c), {_syllable('s.starter', 'e.c')}), NULL)"
+        f"coalesce({_pair('s.starter', 'e.c')}, {_syllable('s.starter', 'e.c')}), NULL)"
     )
     step = (
         f"transform(array({joined}), y -> CASE"
@@ -108,23 +111,42 @@ def _composer() -> str:
         f"aggregate(flatten(transform({groups}, g -> array_sort(transform(split(g, ''), (h, i) -> {ranked})))),"
         f" {state.format(_EMPTY, _EMPTY, _EMPTY, '0')}, (s, e) -> {step}, s -> s.done || s.starter || s.tail)"
     )
-    decomposed = f"array_join(transform(split(p, ''), d -> coalesce(try_element_at({_map(t.decomposed)}, d), d)), '')"
-    run = f"array_join(transform(split({decomposed}, r'(?=[^{q}{_LOW}])'), q -> {piece}), '')"
-    runs = f"regexp_extract_all(x, r'[^{q}]?[{q}]+|[^{q}]+(?![{q}])', 0)"
-    return f"x -> array_join(transform({runs}, p -> IF(rlike(p, r'[{q}]'), {run}, p)), '')"
+    decomposed = f"array_join(transform(split(p, ''), d -> coalesce({_decomposed('d')}, d)), '')"
+    run = f"array_join(transform(regexp_extract_all({decomposed}, r'[^{q}][{q}]*|[{q}]+', 0), q -> {piece}), '')"
+    two = f"IF(char_length(p) = 2, {_pair('substring(p, 1, 1)', 'substring(p, 2, 1)')}, NULL)"
+    runs = f"regexp_extract_all(x, r'(?s).?[{q}]+|[\\x00-\\x{{2ff}}]+(?![{q}])|[^{q}]+(?![{q}])', 0)"
+    long_way = f"octet_length(p) <> char_length(p) AND rlike(p, r'[{q}]')"
+    return f"x -> array_join(transform({runs}, p -> IF({long_way}, coalesce({two}, {run}), p)), '')"
 
 
 _EMPTY = "''"
-_LOW = r"\x{dc00}-\x{dfff}"  # second halves of surrogate pairs: no place to split at
+_SPREAD = 31
+_SLOTS = 1024  # parts of a lookup table, so that a lookup passes two or three entries
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _map(entries: dict[str, str]) -> str:
-    keys, values = (_text(",".join(part)) for part in (entries, entries.values()))
-    return f"map_from_arrays(split({keys}, ','), split({values}, ','))"
+def _pair(first: str, second: str) -> str:
+    """What two characters make; null if they stay two."""
+    number = f"(ascii({first}) * {_SPREAD} + ascii({second}))"
+    return _lookup(tables().pairs, lambda pair: ord(pair[0]) * _SPREAD + ord(pair[1]), number, f"{first} || {second}")
+
+
+def _decomposed(char: str) -> str:
+    """The full decomposition of a character, or null."""
+    return _lookup(tables().decomposed, ord, f"ascii({char})", char)
+
+
+def _lookup(entries: dict[str, str], number: Callable[[str], int], at: str, key: str) -> str:
+    """``entries`` at ``key``, which lies in the slot of its number; a slot reads ``,`` key value ``,`` key value ``,``."""
+    slots = [""] * _SLOTS
+    for k, value in entries.items():
+        slots[number(k) % _SLOTS] += f",{k}{value}"
+    table = _text("/".join(f"{s}," if s else s for s in slots))
+    slot = f"split({table}, '/')[{at} % {_SLOTS}]"
+    return f"nullif(substring_index(substring_index({slot}, ',' || {key}, -1), ',', 1), '')"
 
 
 def _syllable(first: str, second: str) -> str:
