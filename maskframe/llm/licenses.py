@@ -49,7 +49,7 @@ COMMON = frozenset(
     "a an and any are as by can copy for free in into is it of or person person's that the this to under use with "
     "without you 0 1 2 3 4 v".split()
 )
-#: So many of a text's rarest licence words the statement looks up; the operator looks up all.
+#: So many of a text's rarest licence words the statement looks up; the operator has no such limit.
 TOP_WORDS = 12
 #: A notice is found when so many percent of the places looked up agree on one position.
 MIN_PERCENT = 60
@@ -108,15 +108,32 @@ def _scan(words: Column) -> Column:
     return let(seen, found)
 
 
+def rarest_first(looked: DataFrame, postings: DataFrame) -> DataFrame:
+    """Template places to look up per text and template, those of the rarest words first.
+
+    ``asked`` are all places whose word occurs in the text, ordered by the number of texts that
+    hold the word; ``rarest`` the first of them, just so many that a notice on which enough places
+    agree has at least one among them. Looking up no more loses no notice.
+    """
+    words = looked.select("doc", F.explode(F.array_distinct("rare.word")).alias("word"))
+    holding = words.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))  # the vocabulary at most
+    asked = (
+        words.join(postings, "word").join(F.broadcast(holding), "word")
+        .groupBy("doc", "template").agg(F.array_sort(F.collect_list(F.struct("texts", "word", "place"))).alias("asked"))
+    )
+    enough = F.ceil(F.size("asked") * MIN_PERCENT / 100)
+    return asked.withColumn("rarest", F.slice("asked", F.lit(1), (F.size("asked") - enough + 1).cast("int")))
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, hash and what licences its text names.
 
     ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` tell of the :data:`BASE`
     phrases: all places, the first and last of them (null without one), the distinct labels.
-    ``labels`` adds those of :data:`TEMPLATES`: all licence words of a text are
-    looked up, their template places give relative positions, and a template is found where enough of the places looked up
-    agree on one position and its mandatory phrase stands there. ``score`` is the best share
-    of agreeing places, zero without a found template. ``hash`` tells texts of equal ids apart.
+    ``labels`` adds those of :data:`TEMPLATES`: licence words are ranked by the number of texts that hold
+    them, the rarest of each template are looked up in a text and propose relative positions, and a template is found
+    where enough of all its places in the text agree on such a position and its mandatory phrase stands there. ``score``
+    is the best share of agreeing places, zero without a found template. ``hash`` tells texts of equal ids apart.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A to Z lower-cased.
     A null or empty text has no words and no labels; repeated rows come out as often as they
@@ -135,33 +152,29 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         "template int, label string, phrase string, at int",
     ))
     # From here on one row per text: those with licence words are few, and equal rows agree.
-    looked = scanned.where(F.size("rare") > 0).dropDuplicates(["id", "hash"])
-    places = looked.select("id", "hash", F.inline("rare"))
-    votes = (
-        places.join(postings, "word")
-        .groupBy("id", "hash", "template", (F.col("pos") - F.col("place")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("votes"))
+    looked = scanned.where(F.size("rare") > 0).dropDuplicates(["id", "hash"]).select(
+        F.struct("id", "hash").alias("doc"), "rare", "phrases"  # as a whole never null, though ids may be
     )
-    asked = (
-        looked.select("id", "hash", F.explode(F.array_distinct("rare.word")).alias("word")).join(postings, "word")
-        .groupBy("id", "hash", "template").agg(F.count(F.lit(1)).alias("asked"))
+    places = looked.select("doc", F.inline("rare"))
+    ranked = rarest_first(looked, postings)
+    proposed = (
+        ranked.select("doc", "template", F.inline("rarest")).join(places, ["doc", "word"])
+        .select("doc", "template", (F.col("pos") - F.col("place")).alias("start")).distinct()
     )
     stands = (
-        looked.select("id", "hash", F.inline("phrases")).select("id", "hash", "phrase", F.explode("starts").alias("begin"))
-        .join(needed, "phrase").select("id", "hash", "template", "label", (F.col("begin") - F.col("at")).alias("start"))
+        looked.select("doc", F.inline("phrases")).select("doc", "phrase", F.explode("starts").alias("begin"))
+        .join(needed, "phrase").select("doc", "template", "label", (F.col("begin") - F.col("at")).alias("start"))
     )
-
-    def same(a: DataFrame, b: DataFrame, *columns: str) -> Column:
-        return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in ("id", "hash", *columns)])
-
-    matched = votes.join(stands, same(votes, stands, "template", "start")).select(
-        votes["id"], votes["hash"], votes["template"], "label", "votes"
+    votes = (
+        proposed.join(stands, ["doc", "template", "start"]).join(ranked, ["doc", "template"])
+        .select("doc", "template", "label", "start", F.size("asked").alias("n"), F.inline("asked"))
+        .withColumn("pos", F.col("start") + F.col("place")).join(places, ["doc", "word", "pos"])
+        .groupBy("doc", "template", "label", "start", "n").agg(F.count(F.lit(1)).alias("votes"))
     )
     found = (
-        matched.join(asked, same(matched, asked, "template"))
-        .where(F.col("votes") * 100 >= F.col("asked") * MIN_PERCENT)
-        .groupBy(matched["id"].alias("of"), matched["hash"].alias("of_hash"))
-        .agg(F.collect_set("label").alias("more"), F.max(F.col("votes") / F.col("asked")).alias("best"))
+        votes.where(F.col("votes") * 100 >= F.col("n") * MIN_PERCENT)
+        .groupBy("doc").agg(F.collect_set("label").alias("more"), F.max(F.col("votes") / F.col("n")).alias("best"))
+        .select(F.col("doc.id").alias("of"), F.col("doc.hash").alias("of_hash"), "more", "best")
     )
     joined = scanned.join(found, scanned["id"].eqNullSafe(F.col("of")) & (scanned["hash"] == F.col("of_hash")), "left")
     starts = {phrase: _starts_of(phrase) for phrase in BASE}

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -45,6 +46,36 @@ def test_every_notice_of_a_text_is_found(spark):
     assert set(scanned(spark, every)[0].labels.split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
 
 
+def test_the_rarest_words_are_looked_up_first(spark):
+    """By the number of texts that hold a word, and as few as any notice that is found must have one of."""
+    rare = [("mozilla", 0), ("public", 1), ("license", 2), ("terms", 3), ("subject", 4)]
+    texts = [(("a", 1), rare), *[((f"b{i}", 1), [("public", 7), ("license", 8)]) for i in range(4)], (("c", 1), [("license", 0)])]
+    looked = spark.createDataFrame(texts, "doc struct<id:string,hash:int>, rare array<struct<word:string,pos:int>>")
+    postings = spark.createDataFrame([*licenses.POSTINGS], "word string, template int, place int")
+    mpl = next(t for t, (label, *_) in enumerate(licenses.TEMPLATES) if label == "mpl-2.0")
+    out = {r.doc.id: r for r in licenses.rarest_first(looked, postings).where(f"template = {mpl}").collect()}
+    assert [(x.word, x.texts) for x in out["a"].asked] == [("mozilla", 1), ("subject", 1), ("terms", 1), ("public", 5), ("license", 6)]
+    assert [x.word for x in out["a"].rarest] == ["mozilla", "subject", "terms"]  # three of five must agree
+    assert [x.word for x in out["b0"].rarest] == ["public"] and [x.word for x in out["c"].rarest] == ["license"]
+
+
+def test_notices_with_words_missing_are_found_as_by_all_places(spark):
+    """Whatever three fifths of a notice's places stand in order, the rarest words propose its position."""
+    rnd, label_of = random.Random(4), {}
+    _, notice, phrase = licenses.TEMPLATES[2]
+    words, texts = notice.split(), []
+    fixed = set(range(licenses.PHRASE_PLACES[2], licenses.PHRASE_PLACES[2] + len(phrase.split())))
+    for i in range(60):
+        gone = set(rnd.sample([p for p in range(len(words)) if p not in fixed], rnd.randint(0, 10)))
+        swapped = [f"x{p}" if p in gone else w for p, w in enumerate(words)]
+        moved = [words[p] for p in sorted(gone)]
+        texts.append(" ".join([*moved, "y", *swapped]))
+        listed = [p for p, w in enumerate(words) if w not in licenses.COMMON]
+        label_of[i] = "mit" if sum(p not in gone for p in listed) * 100 >= len(listed) * licenses.MIN_PERCENT else ""
+    out = scanned(spark, *texts)
+    assert {i: out[i].labels for i in out} == label_of and set(label_of.values()) == {"mit", ""}
+
+
 def test_words_out_of_place_are_no_notice(spark):
     shuffled = "version 3 public the License under GNU licensed General"
     assert scanned(spark, shuffled)[0].labels == ""
