@@ -32,6 +32,7 @@ _LEAD = rf"{_BLANK}[{{,]{_BLANK}"
 _MEMBER = rf"(?s)\G({_LEAD})({_STRING})({_BLANK}:{_BLANK})({_VALUE})"
 # Characters that no JSON document holds unescaped; they part members and what makes up a member.
 _PART, _NEXT = "\x01", "\x02"
+_PLAIN = r"\A[\x20\x21\x23-\x5b\x5d-\x7e]*\z"
 _END = rf"^{_BLANK}(?:\{{{_BLANK})?\}}{_BLANK}$"
 
 
@@ -48,8 +49,11 @@ def string_value(literal: Column) -> Column:
 
 
 def string_literal(value: Column) -> Column:
-    """A text as a JSON string literal: the only element of a list, without the brackets."""
-    return F.rtrim(F.ltrim(F.to_json(F.array(value)), F.lit("[")), F.lit("]"))
+    """A text as a JSON string literal. Plain ASCII is put in quotes, anything else read off a list written by Spark."""
+    quote = F.lit('"')
+    return let(value, lambda v: F.when(F.rlike(v, F.lit(_PLAIN)), F.concat(quote, v, quote)).otherwise(
+        F.rtrim(F.ltrim(F.to_json(F.array(v)), F.lit("[")), F.lit("]"))
+    ))
 
 
 def starts_with(text: Column, character: str) -> Column:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskframe import Fake, Hash, JsonMask, MaskError, NerMask, Null, RegexMask, mask_table
+from maskframe.functions.jsontext import string_literal
 from maskframe.functions.regex import check_pattern, java_pattern, java_replacement, regex_replace
 from maskframe.operators.ner import pattern_finder, phrase_finder
 from tests import golden
@@ -206,6 +207,23 @@ def test_broken_documents_name_only_the_column(spark, ctx, schema, text):
     assert "t.payload: not a JSON document" in str(info.value) and "secret" not in str(info.value).split("JVM stacktrace")[0]
 
 
+def test_literals_are_written_as_json_writes_them(spark):
+    texts = ["", "plain", 'a"b', "c\\d", "é", "\n", "\x7f", "[x]", "]", "a\nb", "plain\n", "😀", None]
+    df = spark.createDataFrame([(x,) for x in texts], "v string")
+    listed = F.expr("to_json(array(v))")
+    out = df.select("v", string_literal(F.col("v")).alias("o"), F.substring(listed, F.lit(2), F.length(listed) - 2).alias("w")).collect()
+    assert [r.o for r in out] == [r.w for r in out] and [json.loads(r.o) for r in out] == texts
+
+
+def test_masked_documents_are_read_once_for_all_fields(spark):
+    from checks.masking_queries import _json_fields
+
+    docs = spark.createDataFrame([(1, '{"contact":{"email":"e","name":"n"},"token":"t","k":0.5}')], "event_id long, payload string")
+    fields = _json_fields(docs.repartition(2))
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [tuple(r) for r in fields.collect()] == [(1, "e", "n", "t", None, None, 0.5)]
+
+
 def test_ner_replaces_whole_spans(spark, ctx):
     text = "Dr Ada Lovelace met Acme Ltd in Paris; Ada Lovelace left. Müller"
     finder = phrase_finder({"Ada Lovelace": "PERSON", "Acme Ltd": "ORG", "Paris": "GPE", "Müller": "PERSON", "Dr": "TITLE"})
