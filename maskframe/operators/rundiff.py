@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from maskframe.functions.text import quoted
 
 _PIECES = 4  # 24-bit pieces of a row's digest that fingerprints add up
+_HALVES = ("__high", "__low")
 
 
 def cell_text(c: Column, kind: T.DataType) -> Column:
@@ -51,7 +53,7 @@ def diff_runs(a: DataFrame, b: DataFrame, *, fanout: Sequence[int] = (64, 64)) -
     """Rows of one output missing from the other, with ``side`` and the surplus ``copies``.
 
     Rows fall into buckets by a digest of all their cells. Per bucket the signed numbers and sums
-    of digests, which do not depend on order, are compared; buckets that differ are split
+    of hashes of digests, which do not depend on order, are compared; buckets that differ are split
     once more for every further number in ``fanout`` (at most their product is broadcast). Only rows of
     differing buckets have their digests counted, and only rows with a surplus travel whole. Equal
     runs are scanned once and shuffle a few numbers per task; a run with differences is scanned once
@@ -64,15 +66,17 @@ def diff_runs(a: DataFrame, b: DataFrame, *, fanout: Sequence[int] = (64, 64)) -
     side, digest, at, n = "__side", "__digest", "__bucket", "__n"
     both = a.select("*", F.lit(1).alias(side)).unionByName(b.select("*", F.lit(-1).alias(side)))
     rows = both.withColumn(digest, row_digest(both.drop(side)))
-    suspects = rows
+    # Numbers of their own columns, so that a row's digest is worked out once however often they are used.
+    hashed = rows.select(side, digest, *[h.alias(name) for h, name in zip(_hashes(digest), _HALVES, strict=True)])
+    suspects = hashed
     for level in range(len(fanout)):
-        buckets = _bucket(digest, fanout[: level + 1])
-        sums = [F.sum(F.col(side) * piece).alias(f"__s{i}") for i, piece in enumerate(_pieces(digest))]
-        counted = suspects.groupBy(buckets.alias(at)).agg(F.sum(side).alias(n), *sums)
+        bucket = _bucket(math.prod(fanout[: level + 1]))
+        sums = [F.sum(F.col(side) * piece).alias(f"__s{i}") for i, piece in enumerate(_pieces())]
+        counted = suspects.groupBy(bucket.alias(at)).agg(F.sum(side).alias(n), *sums)
         unequal = counted.where(" OR ".join([f"{n} <> 0", *[f"__s{i} <> 0" for i in range(_PIECES)]])).select(at)
-        # All rows again, not the suspects: buckets of this level name the ones above, and one scan suffices.
+        # All rows again, not the suspects: buckets of this level lie within one of the level above, and one scan suffices.
         # Buckets are unique, so an inner join keeps each row once; a semi join would be copied into the union.
-        suspects = rows.withColumn(at, buckets).join(F.broadcast(unequal), at)
+        suspects = hashed.withColumn(at, bucket).join(F.broadcast(unequal), at)
     surplus = suspects.groupBy(digest).agg(F.sum(side).alias(n)).where(f"{n} <> 0")
     whole = F.struct(*[quoted(c) for c in a.columns])
     found = rows.join(surplus.select(digest), digest).groupBy(digest).agg(
@@ -83,15 +87,19 @@ def diff_runs(a: DataFrame, b: DataFrame, *, fanout: Sequence[int] = (64, 64)) -
     )
 
 
-def _pieces(digest: str) -> list[Column]:
+def _hashes(digest: str) -> list[Column]:
+    """A 64-bit number of either half of a digest, far cheaper than reading its digits."""
+    return [F.xxhash64(F.substring(digest, 1, 16)), F.xxhash64(F.substring(digest, 17, 16))]
+
+
+def _pieces() -> list[Column]:
     """24-bit numbers of a digest; sums of them stay exact up to 2 ** 39 rows a bucket."""
-    return [F.conv(F.substring(digest, 1 + 6 * i, 6), 16, 10).cast("long") for i in range(_PIECES)]
+    return [
+        F.shiftrightunsigned(h, bits).bitwiseAND(F.lit((1 << 24) - 1)) for h in map(F.col, _HALVES) for bits in (0, 24)
+    ]
 
 
-def _bucket(digest: str, fanout: Sequence[int]) -> Column:
-    """Number of a row's bucket on the level ``fanout`` leads to; a bucket lies within one of the level above."""
-    rest, bucket = F.conv(F.substring(digest, 1 + 6 * _PIECES, 8), 16, 10).cast("long"), F.lit(0).cast("long")
-    for size in fanout:
-        bucket = bucket * size + rest % size
-        rest = F.floor(rest / size)
-    return bucket
+def _bucket(size: int) -> Column:
+    """Number of a row's bucket out of ``size``, from bits that no piece holds; buckets of a multiple lie within it."""
+    high, low = (F.shiftrightunsigned(F.col(h), 48) for h in _HALVES)
+    return F.pmod(high * F.lit(1 << 16) + low, F.lit(size))
