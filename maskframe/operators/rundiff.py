@@ -100,6 +100,9 @@ def _pieces() -> list[Column]:
 
 
 def _bucket(size: int) -> Column:
-    """Number of a row's bucket out of ``size``, from bits that no piece holds; buckets of a multiple lie within it."""
+    """Number of a row's bucket out of ``size``, from bits that no piece holds; buckets of a multiple lie within it.
+
+    It is never null, and says so: a join on it would else ask for that below all that a computed row is made of.
+    """
     high, low = (F.shiftrightunsigned(F.col(h), 48) for h in _HALVES)
-    return F.pmod(high * F.lit(1 << 16) + low, F.lit(size))
+    return F.coalesce(F.pmod(high * F.lit(1 << 16) + low, F.lit(size)), F.lit(0).cast("long"))
