@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import prose
 
 from maskframe.llm import repeats
@@ -98,3 +100,34 @@ def test_previous_factors():
     for i in range(200):
         same = places[(ranks == ranks[i])]
         assert earlier[i] == (same.min() < places[i]) and elsewhere[i] == (len(same) > 1)
+
+
+@pytest.mark.parametrize("group", [2000, 2])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_dealing_out_frequent_keys_changes_nothing(docs, rows, monkeypatch, group, keep_first):
+    for name, value in (("MAX_GROUP", group), ("OFTEN", 2), ("PARTS", 3)):
+        monkeypatch.setattr(repeats, name, value)
+    assert order(removed(docs, keep_first=keep_first)) == order(plain(rows, 400, keep_first))
+
+
+def test_rows_of_a_frequent_key_meet_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "OFTEN", 100)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        places = spark.range(4000).selectExpr(
+            "if(id % 9 = 0, null, id) AS id", "id AS hash", "if(id < 3000, 5L, id div 2) AS rank", "int(id) AS first"
+        )
+        found = places.groupBy("rank").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        met = repeats._joined(places, found, "rank").select("id", "hash", "rank", "first", "times")
+        task = F.spark_partition_id().alias("task")
+        tasks = [r.task for r in met.select(task, "rank").collect() if r["rank"] == 5]
+        want = places.join(found, "rank").select("id", "hash", "rank", "first", "times")
+        assert sorted(map(str, met.collect())) == sorted(map(str, want.collect())) and len(tasks) == 3000
+        assert max(Counter(tasks).values()) < 600
+        assert len({r.task for r in want.select(task, "rank").collect() if r["rank"] == 5}) == 1  # the plain join
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
